@@ -103,18 +103,17 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), F.col("__n").alias("n_tokens"), softmax(F.col("__z"), len(model.domains)).alias("p"))
 
 
-def _dot(p: Column, v: list[float]) -> Column:
-    out = p[0] * F.lit(float(v[0]))
-    for i in range(1, len(v)):
-        out = out + p[i] * F.lit(float(v[i]))
-    return out
+def _rate(p: Column, k: int, steps: list[list[float]]) -> Column:
+    """Rates after ``steps``.  They come as one array constant, so a further step compiles no new code."""
+    taken = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
 
+    def step(r: Column, g: Column) -> Column:
+        change = F.get(p, F.lit(0)) * F.get(g, F.lit(0))
+        for i in range(1, k):
+            change = change + F.get(p, F.lit(i)) * F.get(g, F.lit(i))
+        return F.greatest(F.lit(0.0), r - change)
 
-def _rate(p: Column, steps: list[list[float]]) -> Column:
-    r = F.lit(1.0)
-    for g in steps:
-        r = F.greatest(F.lit(0.0), r - _dot(p, g))
-    return r
+    return F.aggregate(taken, F.lit(1.0), step)
 
 
 def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[Column, list[dict]]:
@@ -137,13 +136,13 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     taken: list[list[float]] = []
     history = []
     for _ in range(steps):
-        got = rows.agg(*(F.sum(_rate(pc, taken) * nc * pc[i]).alias(f"t{i}") for i in range(k))).first()
+        got = rows.agg(*(F.sum(_rate(pc, k, taken) * nc * pc[i]).alias(f"t{i}") for i in range(k))).first()
         gap = np.array([got[f"t{i}"] or 0.0 for i in range(k)]) / total - want
         history.append({"totals": [float(got[f"t{i}"] or 0.0) for i in range(k)], "gap": float(np.abs(gap).max())})
         if history[-1]["gap"] <= tolerance:
             break
         taken.append([float(x) for x in inverse @ gap])
-    return _rate(pc, taken), history
+    return _rate(pc, k, taken), history
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,3 +159,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
     rows = materialize(memberships(source, model, slots, "__text"), "mix-members")
     rate, _ = fit_rates(rows, [targets[d] for d in domains])
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"))
+
+
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as its rate: the whole part, and once more by a hash of id and length for the fraction."""
+    domains = sorted(targets)
+    model = learn_domains(docs, labelled, domains, id_col, text_col)
+    buckets, logits = model.posteriors(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    rows = docs.withColumn("__b", buckets).withColumn("__z", logits(F.col("__b"))).withColumn("__n", F.size("__b").cast("long"))
+    rows = materialize(rows.withColumn("__p", softmax(F.col("__z"), len(domains))).drop("__b", "__z"), "mix-members")
+    rate, _ = fit_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
+    unit = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 20)) / float(1 << 20)
+    copies = F.floor(rate + unit).cast("int")
+    return rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -87,20 +87,20 @@ def control_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as policy records on streams by supplier; nulls and negative values occur."""
-    i = table(spark, sf_dir, "lineitem")
+    """Orders as policy records on streams by customer; nulls and negative values occur."""
+    o = table(spark, sf_dir, "orders")
     kinds = ["SetConsumerGroupAckMode", "SetConsumerGroupMandatory", "SetStreamRetentionPolicy", "SetStreamCheckpointInterval", "SetProduceAcl", "SetConsumeAcl", "SetStreamSubjectClaimType"]
-    version = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    q = F.col("l_quantity").cast("long")
+    version, part = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 7)
+    q = F.floor("o_totalprice") % 50 + 1
     fields = F.create_map(
-        F.lit("StreamName"), F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")), F.lit("ConsumerGroup"), F.concat(F.lit("c"), (F.col("l_partkey") % 5).cast("string")),
+        F.lit("StreamName"), F.concat(F.lit("s"), (F.col("o_custkey") % 20).cast("string")), F.lit("ConsumerGroup"), F.concat(F.lit("c"), (part % 5).cast("string")),
         F.lit("Mode"), F.when(q % 2 == 0, "Strict").otherwise("Checkpoint"), F.lit("Mandatory"), F.when(q % 3 == 0, "false").otherwise("true"),
         F.lit("AuditRetention"), ((q - 5) * 1000).cast("string"), F.lit("MaxRetention"), (q * 2000).cast("string"), F.lit("MaxSizeBytesPerVirtualShard"), F.when(q % 4 != 0, (q - 10).cast("string")),
         F.lit("Interval"), F.when(q % 5 != 0, (q * 100).cast("string")), F.lit("OffsetCount"), F.when(q % 3 != 0, q.cast("string")),
-        F.lit("Subject"), F.concat(F.lit("u"), (F.col("l_partkey") % 11).cast("string")), F.lit("Allowed"), F.when(q % 2 == 0, "true").otherwise("false"), F.lit("ClaimType"), F.when(q % 2 == 0, F.concat(F.lit("claim"), (q % 3).cast("string"))),
+        F.lit("Subject"), F.concat(F.lit("u"), (part % 11).cast("string")), F.lit("Allowed"), F.when(q % 2 == 0, "true").otherwise("false"), F.lit("ClaimType"), F.when(q % 2 == 0, F.concat(F.lit("claim"), (q % 3).cast("string"))),
     )
     kind = F.get(F.array(*(F.lit(k) for k in kinds)), (version % 7).cast("int"))
-    return i.select(version.alias("version"), kind.alias("record_type"), fields.alias("fields"), F.col("l_shipdate").alias("ts"), F.lit(None).cast("string").alias("proposed_by"))
+    return o.select(version.alias("version"), kind.alias("record_type"), fields.alias("fields"), F.col("o_orderdate").alias("ts"), F.lit(None).cast("string").alias("proposed_by"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

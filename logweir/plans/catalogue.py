@@ -377,7 +377,7 @@ def fold_assignments(spark, d):
     return control.assignments(b.control_log(spark, d)).drop("stream")
 
 
-_SET = """s AS (SELECT l_orderkey * 8 + l_linenumber AS version, (l_orderkey * 8 + l_linenumber) % 7 AS t, 's' || (l_suppkey % 20) AS stream, 'c' || (l_partkey % 5) AS grp, 'u' || (l_partkey % 11) AS subject, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"""
+_SET = """s AS (SELECT o_orderkey AS version, o_orderkey % 7 AS t, 's' || (o_custkey % 20) AS stream, 'c' || (o_orderkey // 7 % 5) AS grp, 'u' || (o_orderkey // 7 % 11) AS subject, CAST(floor(o_totalprice) AS BIGINT) % 50 + 1 AS q FROM orders)"""
 
 
 @query(f"""WITH {_SET} SELECT stream, grp AS consumer_group, coalesce(arg_max(CASE WHEN q % 2 = 0 THEN 'Strict' ELSE 'Checkpoint' END, version) FILTER (WHERE t = 0), 'Strict') AS mode, coalesce(arg_max(q % 3 <> 0, version) FILTER (WHERE t = 1), true) AS mandatory FROM s WHERE t < 2 GROUP BY 1, 2""")

@@ -332,8 +332,10 @@ def read_token_files(spark: SparkSession, folder: str, id_col: str = "doc_id") -
                 k = len(names)
                 yield pa.RecordBatch.from_arrays([pa.array([shard] * k, pa.int32()), pa.array([seq] * k, pa.int32()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())], ["shard", "seq", "id", "at", "n", "crc"])
 
-    schema = "path string, modificationTime timestamp, length long, content binary, shard int, seq int, n long"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema(schema).load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").schema(schema).load(folder)
+    number = lambda name, kind: F.regexp_extract("path", f"/{name}=([0-9]+)/", 1).cast(kind).alias(name)
+    files = found.select(number("shard", "int"), number("seq", "int"), number("n", "long"), "content")
     sizes = files.select("shard", "seq", "n")
     by_shard = sizes.groupBy("shard").agg(F.sum("n").alias("total"))
     # MOST_RANGES rows at most meet in this window, whatever the corpus

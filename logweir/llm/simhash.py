@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected_components(fingerprint_links(distinct, radius, shard_rows))
     linked = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "first_doc")
     linked = materialize(linked, "simhash-linked")
-    least = linked.groupBy("root").agg(F.min("first_doc").alias("least"))
+    # written, so that the join below deals both sides alike and can split a large component
+    least = materialize(linked.groupBy("root").agg(F.min("first_doc").alias("least")), "simhash-least")
     of_linked = linked.select("fp", "root").join(least, "root").select("fp", "least")
     names = materialize(distinct.join(of_linked, "fp", "left").select("fp", F.coalesce("least", "first_doc").alias("component_id")), "simhash-names")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))

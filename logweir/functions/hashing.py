@@ -23,9 +23,15 @@ def _crc_table() -> np.ndarray:
 _TABLE = _crc_table()
 
 
+_STEPS = _TABLE.tolist()
+
+
 def crc32c(data: bytes) -> int:
     """CRC-32C (Castagnoli) of ``data``."""
-    return int(crc32c_many([data])[0])
+    crc = 0xFFFFFFFF
+    for b in data:
+        crc = _STEPS[(crc ^ b) & 0xFF] ^ crc >> 8
+    return crc ^ 0xFFFFFFFF
 
 
 def crc32c_many(rows: list[bytes]) -> np.ndarray:

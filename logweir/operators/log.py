@@ -89,19 +89,17 @@ def merge_entries(local: DataFrame, incoming: DataFrame) -> DataFrame:
     Entries already held with the same term are skipped; at the first differing
     term the local end is dropped, and the rest is appended.
     """
-    both = local.select("raft_index", F.col("raft_term").alias("mine")).join(incoming.select("raft_index", F.col("raft_term").alias("theirs")), "raft_index")
-    clash = both.agg(F.min(F.when(F.col("mine") != F.col("theirs"), F.col("raft_index"))).alias("clash"))
-    last = local.agg(F.max("raft_index").alias("last"))
-    cut = F.broadcast(clash.join(last, F.lit(True)).select(F.coalesce(F.col("clash"), F.coalesce(F.col("last"), F.lit(-1)) + 1).alias("cut")))  # one row
-    return local.join(cut, F.col("raft_index") < F.col("cut")).drop("cut").unionByName(incoming.join(cut, F.col("raft_index") >= F.col("cut")).drop("cut"))
+    both = local.select("raft_index", F.col("raft_term").alias("mine")).join(incoming.select("raft_index", F.col("raft_term").alias("theirs")), "raft_index", "left")
+    found = both.agg(F.min(F.when(F.col("mine") != F.col("theirs"), F.col("raft_index"))).alias("clash"), F.max("raft_index").alias("last")).first()
+    cut = found["clash"] if found["clash"] is not None else (-1 if found["last"] is None else found["last"]) + 1
+    return local.where(F.col("raft_index") < cut).unionByName(incoming.where(F.col("raft_index") >= cut))
 
 
 def conflict_index(wal: DataFrame, index: int) -> DataFrame:
     """First index of the run of equal terms that ends at ``index``."""
-    at = wal.where(F.col("raft_index") == index).select(F.col("raft_term").alias("t"))
-    other = wal.where(F.col("raft_index") < index).join(F.broadcast(at), F.col("raft_term") != F.col("t")).agg(F.max("raft_index").alias("o"))
-    first = wal.agg(F.min("raft_index").alias("f"))
-    return other.join(first, F.lit(True)).select(F.coalesce(F.col("o") + 1, F.col("f")).alias("conflict_index"))
+    term = wal.where(F.col("raft_index") == index).agg(F.max("raft_term")).first()[0]
+    before = F.max(F.when((F.col("raft_index") < index) & (F.col("raft_term") != term), F.col("raft_index")))
+    return wal.agg(F.coalesce(before + 1, F.min("raft_index")).alias("conflict_index"))
 
 
 def file_ranges(files: DataFrame, key: list[str], first: str = "first_index", last_known: Column | None = None) -> DataFrame:

@@ -487,17 +487,15 @@ def admission_gate(spark, d):
     return retention.admitted(m, paused).groupBy("vshard").agg(F.count(F.lit(1)).alias("messages"))
 
 
-@query("""WITH k AS (SELECT n_regionkey, list_sort(list(s), 'DESC') AS l FROM (SELECT n_regionkey, n_nationkey, count(s_suppkey) AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1)
-  SELECT 'g' || n_regionkey AS group_id, max(o_orderkey) AS commit_index FROM k, (SELECT DISTINCT o_orderkey, o_orderkey % 2 AS term FROM orders) WHERE term = 1 AND o_orderkey <= l[len(l) // 2 + 1] GROUP BY 1""")
+@query("""WITH k AS (SELECT n_regionkey, list_sort(list(s), 'DESC') AS l FROM (SELECT n_regionkey, n_nationkey, count(s_suppkey) * 100 AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1)
+  SELECT 'g' || n_regionkey AS group_id, max(o_orderkey) AS commit_index FROM k JOIN orders ON o_custkey % 5 = n_regionkey WHERE o_orderkey % 2 = 1 AND o_orderkey <= l[len(l) // 2 + 1] GROUP BY 1""")
 def quorum_commit_index(spark, d):
-    per = b.table(spark, d, "nation").join(b.table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("match_index"))
-    per = per.withColumn("group_id", F.concat(F.lit("g"), F.col("n_regionkey").cast("string")))
+    name = lambda c: F.concat(F.lit("g"), c.cast("string")).alias("group_id")
+    per = b.table(spark, d, "nation").join(b.table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    per = per.groupBy(name(F.col("n_regionkey")), "n_nationkey").agg((F.count("s_suppkey") * 100).alias("match_index"))
     members = per.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"))
-    terms = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("raft_index"), (F.col("o_orderkey") % 2).alias("raft_term"))
-    # an index is at most the largest match, so only that many log rows meet the groups
-    top = per.agg(F.max("match_index").alias("top"))
-    near = terms.join(F.broadcast(top), F.col("raft_index") <= F.col("top")).drop("top").join(F.broadcast(members.select("group_id")))
-    return log.quorum_commit(per.join(members, "group_id"), ["group_id"], F.col("members"), near, F.lit(1))
+    terms = b.table(spark, d, "orders").select(name(F.col("o_custkey") % 5), F.col("o_orderkey").alias("raft_index"), (F.col("o_orderkey") % 2).alias("raft_term"))
+    return log.quorum_commit(per.join(members, "group_id"), ["group_id"], F.col("members"), terms, F.lit(1))
 
 
 @query(f"WITH {_S} SELECT vshard, min_offset AS first_index, coalesce(lead(min_offset) OVER (PARTITION BY vshard ORDER BY min_offset) - 1, -1) AS last_index FROM seg QUALIFY last_index = -1 OR last_index > 99")

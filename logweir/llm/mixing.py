@@ -75,9 +75,10 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     Of more than ``train_docs`` labelled rows, those are learned from whose
     hashed id falls in the matching share; that side of the join is then
     bounded and is broadcast.  The driver gets one number for each bucket and
-    domain.  Without labels all domains are alike.
+    domain.  Without labels all domains are alike, and a
+    repeated label counts once, so that no id can swell the broadcast.
     """
-    labelled = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).select(F.col(id_col).alias("id"), "domain")
+    labelled = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).select(F.col(id_col).alias("id"), "domain").distinct()
     share = min(1.0, train_docs / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
@@ -150,7 +151,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
 
     ``targets`` maps domains to shares of all tokens.  Null and empty texts have
     no tokens and get the rate of their prior; repeated rows each come back; an
-    empty table gives no rows.  Repeated labels count each time.
+    empty table gives no rows.
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)

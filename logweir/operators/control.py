@@ -164,3 +164,51 @@ def reshard_commands(step: str, migration: str, stream: str, vshard: int, source
     kinds = {"start": ("MigrationStarted", {"FromGroupId": source, "ToGroupId": target}), "cutover": ("Cutover", {"ToGroupId": target}), "complete": ("MigrationCompleted", {}), "abort": ("MigrationAborted", {})}
     kind, more = kinds[step]
     return kind, base | more
+
+
+Command = tuple[str, dict[str, str | None]]
+
+
+def _need(**names: str | None) -> None:
+    for what, value in names.items():
+        if not value:
+            raise ValueError(f"{what} is required")
+
+
+def set_group_flag(stream: str, group: str, mode: str | None = None, mandatory: bool | None = None) -> list[Command]:
+    """One record for each flag given."""
+    _need(stream=stream, group=group)
+    if mode not in (None, "Strict", "Checkpoint"):
+        raise ValueError(f"'{mode}' is not a valid ack mode")
+    base: dict[str, str | None] = {"StreamName": stream, "ConsumerGroup": group}
+    out: list[Command] = [] if mode is None else [("SetConsumerGroupAckMode", base | {"Mode": mode})]
+    return out if mandatory is None else [*out, ("SetConsumerGroupMandatory", base | {"Mandatory": str(mandatory).lower()})]
+
+
+def set_stream_policy(stream: str, retention_us: tuple[int, int] | None = None, max_bytes: int | None = None, checkpoint: tuple[int | None, int | None] | None = None) -> list[Command]:
+    """Retention ``(audit, max)`` with its size limit, and checkpoint ``(interval, offsets)``, whichever is given."""
+    _need(stream=stream)
+    text = lambda v: None if v is None else str(v)
+    out: list[Command] = []
+    if retention_us is not None:
+        out.append(("SetStreamRetentionPolicy", {"StreamName": stream, "AuditRetention": str(retention_us[0]), "MaxRetention": str(retention_us[1]), "MaxSizeBytesPerVirtualShard": text(max_bytes)}))
+    if checkpoint is not None:
+        out.append(("SetStreamCheckpointInterval", {"StreamName": stream, "Interval": text(checkpoint[0]), "OffsetCount": text(checkpoint[1])}))
+    return out
+
+
+def manage_acl(subject: str, stream: str, allowed: bool, group: str | None = None) -> Command:
+    """A consume entry with a group, a produce entry without."""
+    _need(subject=subject, stream=stream)
+    base: dict[str, str | None] = {"Subject": subject, "StreamName": stream, "Allowed": str(allowed).lower()}
+    return ("SetProduceAcl", base) if group is None else ("SetConsumeAcl", base | {"ConsumerGroup": group})
+
+
+def register_group(group: str, members: dict[str, str]) -> Command:
+    _need(group=group)
+    return "RegisterGroup", {"GroupId": group, "Members": ", ".join(f"{n}@{a}" for n, a in members.items())}
+
+
+def set_claim_type(stream: str, claim: str | None) -> Command:
+    _need(stream=stream)
+    return "SetStreamSubjectClaimType", {"StreamName": stream, "ClaimType": claim}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import message_size
-from ..schema import INDEX_EVERY, SHARD
+from ..schema import FLUSH_BYTES, INDEX_EVERY, SHARD
 
 
 def assign_offsets(rows: DataFrame, arrival: str, keys: list[str] | None = None, base: DataFrame | None = None, buckets: int = 256) -> DataFrame:
@@ -123,6 +126,31 @@ def segment_stats(messages: DataFrame, segment: str = "segment") -> DataFrame:
     return out.withColumn("messages", F.col("max_offset") - F.col("min_offset") + 1)
 
 
+def flush_segments(messages: DataFrame, threshold: int = FLUSH_BYTES) -> DataFrame:
+    """``messages(..., bytes)`` with the ``segment`` each is flushed to, per shard in offset order.
+
+    A buffer is flushed once its bytes reach ``threshold`` and the sum restarts,
+    which is sequential within a shard as its writer is; rows stream through.
+    """
+    schema = "stream string, vshard int, offset long, bytes long, segment long"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, segment, held = None, 0, 0
+        for f in frames:
+            out = []
+            for key, size in zip(zip(f["stream"], f["vshard"], strict=True), f["bytes"].tolist(), strict=True):
+                if key != shard:
+                    shard, segment, held = key, 0, 0
+                out.append(segment)
+                held += size
+                if held >= threshold:
+                    segment, held = segment + 1, 0
+            yield f.assign(segment=out)
+
+    rows = messages.select(*SHARD, "offset", "bytes").repartition(*SHARD).sortWithinPartitions(*SHARD, "offset")
+    return rows.mapInPandas(run, schema)
+
+
 def sparse_index(messages: DataFrame, segment: str = "segment", every: int = INDEX_EVERY) -> DataFrame:
     """Offset and byte position of every ``every``-th record of a segment."""
     w = Window.partitionBy(*SHARD, segment).orderBy("offset")

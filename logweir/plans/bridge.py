@@ -104,10 +104,10 @@ def settings_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Regions as groups with their nations as members, and the addresses of two nations in three."""
+    """Regions as groups with their nations as members, and the addresses of nations with a supplier in good standing."""
     n = table(spark, sf_dir, "nation")
     member = F.struct(F.col("n_nationkey").cast("string").alias("node_id"), F.lower("n_name").alias("address"))
     members = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", member.alias("m")))), lambda x: x["m"])
     groups = n.groupBy(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("group_id")).agg(members.alias("members"))
-    known = n.where(F.col("n_nationkey") % 3 != 0)  # the others have no address on file: part of the fixture, not a sample
+    known = n.join(table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000), F.col("n_nationkey") == F.col("s_nationkey"), "left_semi")
     return groups, known.select(F.col("n_nationkey").cast("string").alias("node_id"), F.lower("n_name").alias("address"))

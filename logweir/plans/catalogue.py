@@ -125,6 +125,13 @@ def segment_stats(spark, d):
     return b.segments(spark, d).select("vshard", "segment", "min_offset", "max_offset", "bytes", "messages")
 
 
+@query("WITH RECURSIVE " + _M + """, r AS (SELECT vshard, off, bytes AS held, CAST(0 AS BIGINT) AS segment FROM m WHERE off = 0
+    UNION ALL SELECT m.vshard, m.off, CASE WHEN r.held >= 6000 THEN m.bytes ELSE r.held + m.bytes END, CASE WHEN r.held >= 6000 THEN r.segment + 1 ELSE r.segment END FROM r JOIN m ON m.vshard = r.vshard AND m.off = r.off + 1)
+  SELECT vshard, off AS "offset", segment FROM r""")
+def flush_segments(spark, d):
+    return log.flush_segments(log.with_size(b.messages(spark, d)), 6000).select("vshard", "offset", "segment")
+
+
 @query(f"""WITH {_M}, r AS (SELECT vshard, off, off // 50 AS segment, bytes, ROW_NUMBER() OVER w AS rn, SUM(bytes) OVER w - bytes AS pos FROM m WINDOW w AS (PARTITION BY vshard, off // 50 ORDER BY off))
   SELECT vshard, CAST(segment AS BIGINT) AS segment, off AS "offset", CAST(pos AS BIGINT) AS position FROM r WHERE rn % 16 = 1""")
 def sparse_index(spark, d):
@@ -446,7 +453,7 @@ def validate_request(spark, d):
     return b.table(spark, d, "documents").select("doc_id", scalars.request_error(F.encode("text", "UTF-8"), empty).alias("error"))
 
 
-@query("""WITH n AS (SELECT 'g' || n_regionkey AS group_id, n_nationkey, lower(n_name) AS address FROM nation WHERE n_nationkey % 3 <> 0)
+@query("""WITH n AS (SELECT 'g' || n_regionkey AS group_id, n_nationkey, lower(n_name) AS address FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000))
   SELECT group_id, CAST(min(n_nationkey) AS VARCHAR) AS node_id, arg_min(address, n_nationkey) AS address FROM n GROUP BY 1""")
 def group_redirect(spark, d):
     return policy.redirects(*b.nodes(spark, d))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import route_xxh3
 from ..functions.scalars import CORRELATION, default_header
 from ..operators.log import assign_offsets, next_offset
+from ..operators.retention import reshard_copy, reshard_progress
 from ..schema import MESSAGES, SHARD
 
 
@@ -43,3 +46,31 @@ def publish(rows: DataFrame, streams: DataFrame, path: str, arrival: str = "seq"
     out.repartition(*SHARD).sortWithinPartitions(*SHARD, "offset").write.mode("append" if batch is None else "overwrite").partitionBy(*SHARD).parquet(where)
     written = spark.read.schema(MESSAGES).parquet(where)
     return written
+
+
+def snapshot_files(messages: DataFrame, up_to: int) -> list[str]:
+    """Files that hold every committed row below ``up_to``."""
+    return sorted(messages.where(F.col("offset") < up_to).inputFiles())
+
+
+def install_snapshot(rows: DataFrame, path: str) -> DataFrame:
+    """Replace the whole log by ``rows``, which must not be read from ``path`` itself."""
+    rows.select(*MESSAGES.names).repartition(*SHARD).sortWithinPartitions(*SHARD, "offset").write.mode("overwrite").partitionBy(*SHARD).parquet(path)
+    return read(rows.sparkSession, path)
+
+
+def copy_until_caught_up(source: Callable[[], DataFrame], path: str, stream: str, vshard: int, now: Column, start: int = 0) -> int:
+    """Copy a group's log to a target in rounds until a round finds nothing; returns the next offset to copy from.
+
+    ``source`` is asked anew each round, so rows that arrive meanwhile are copied too.
+    """
+    at = start
+    while True:
+        rows = source()
+        step = reshard_progress(rows, at).first()
+        if step["caught_up"]:
+            return at
+        spark = rows.sparkSession
+        batch = reshard_copy(rows.where(F.col("offset") < step["next_offset"]), at, read(spark, path), stream, vshard, now)
+        batch.select(*MESSAGES.names).sortWithinPartitions("offset").write.mode("append").partitionBy(*SHARD).parquet(path)
+        at = step["next_offset"]

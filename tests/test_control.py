@@ -75,3 +75,15 @@ def test_policies_and_access(spark):
     assert policy.redirects(control.groups(log), addresses).first().node_id == "n2"
     assert control.describe(log).where("version = 5").first().fields["Interval"] == ""
     assert control.last_version(log).first()[0] == 10 and control.newer(log, 8).count() == 2
+
+
+def test_commands_are_validated(spark):
+    assert [k for k, _ in control.set_group_flag("s", "g", "Strict", False)] == ["SetConsumerGroupAckMode", "SetConsumerGroupMandatory"]
+    assert control.set_stream_policy("s", (1, 2), None, (None, 3))[1][1]["OffsetCount"] == "3"
+    assert control.manage_acl("u", "s", True)[0] == "SetProduceAcl" and control.manage_acl("u", "s", True, "g")[0] == "SetConsumeAcl"
+    for bad in (lambda: control.set_group_flag("s", "g", "Odd"), lambda: control.manage_acl("", "s", True), lambda: control.set_claim_type("", None)):
+        with pytest.raises(ValueError):
+            bad()
+    log = _log(spark, [control.register_group("g", {"n1": "http://a:1"}), control.set_claim_type("s", "sub"), *control.set_stream_policy("s", (5, 6), 7)])
+    assert control.groups(log).first().members[0].address == "http://a:1" and control.claim_overrides(log).first().claim_type == "sub"
+    assert control.retention_policies(log).first().max_bytes == 7

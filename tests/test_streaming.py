@@ -85,3 +85,18 @@ def test_unacked_rows_come_again(spark):
     at = lambda **k: sorted(r.offset for r in live.consume(m, state, "g", **k).collect())
     assert at() == [2, 3, 4] and at(skip_selective=True) == [2, 4]
     assert live.consume(m, state, "other").where(F.col("offset") == 0).count() == 1
+
+
+def test_reshard_rounds_and_snapshots(spark, tmp_path):
+    path, target, other = (str(tmp_path / x) for x in ("a", "b", "c"))
+    tables.publish(_requests(spark, 0, 20), _streams(spark), path)
+    source = lambda: tables.read(spark, path).where("vshard = 1")
+    n = source().count()
+    at = tables.copy_until_caught_up(source, target, "copy", 0, F.lit(T0))
+    assert at == n and sorted(r.offset for r in tables.read(spark, target).collect()) == list(range(n))
+    tables.publish(_requests(spark, 20, 20), _streams(spark), path)
+    more = source().count()
+    assert tables.copy_until_caught_up(source, target, "copy", 0, F.lit(T0), at) == more
+    assert sorted(r.offset for r in tables.read(spark, target).collect()) == list(range(more))
+    assert tables.snapshot_files(tables.read(spark, path), 10)
+    assert tables.install_snapshot(tables.read(spark, path), other).count() == 40

@@ -233,7 +233,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     roots = connected_components(found.where(F.col("v").isNotNull()).select("u", "v"))
     named = classes.select("class", "copies", "first_id").join(roots, F.col("class") == F.col("node"), "left").join(links, "class", "left")
     named = materialize(named.select("class", "copies", "first_id", F.coalesce("root", "class").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "pq-named")
-    least = named.groupBy("root").agg(F.min("first_id").alias("component"))
+    # written, so that the join below deals both sides alike and can split a large component
+    least = materialize(named.groupBy("root").agg(F.min("first_id").alias("component")), "pq-least")
     by_class = materialize(named.join(least, "root").select("class", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component"), "pq-members")
     out = rows.select("id", "class").join(by_class, "class", "left")
     component = F.coalesce("component", "id")

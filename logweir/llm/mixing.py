@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from ._util import WORD_SPACE, materialize
 
-#: Hash buckets of words; expected labelled documents learned from; words that a
-#: document's evidence counts for at most, which keeps the posteriors of long texts soft.
-BUCKETS, TRAIN_DOCS, EVIDENCE_WORDS = 8192, 8000, 60
+#: Hash buckets of words; expected labelled documents learned from; least likelihood-ratio
+#: statistic of a bucket that counts (chance alone passes 30 in one of 10^7 buckets or so).
+BUCKETS, TRAIN_DOCS, EVIDENCE = 65_536, 8000, 30.0
+#: Document frequency of the whole sample that smooths each domain's own, in documents.
+SMOOTHING = 5.0
 STEPS, TOLERANCE = 25, 1e-4
 
 
@@ -39,22 +41,23 @@ def _total(model: Column, buckets: Column) -> Column:
 
 
 class DomainModel:
-    """Prior and per-bucket log odds of each domain against the first."""
+    """Priors, and per bucket the log odds of its presence for each domain against the first.
 
-    def __init__(self, domains: list[str], priors: list[float], odds: list[list[float]]):
-        self.domains, self.priors, self.odds = domains, priors, odds
+    ``base`` is the evidence of a document that has none of the counting buckets.
+    """
+
+    def __init__(self, domains: list[str], priors: list[float], base: list[float], odds: list[list[float]]):
+        self.domains, self.priors, self.base, self.odds = domains, priors, base, odds
 
     def posteriors(self, text: Column) -> tuple[Column, Callable[[Column], Column]]:
-        """The buckets of a text's words, and the posteriors over ``domains`` from them."""
+        """A text's words as buckets, and the logits over ``domains`` from them."""
         buckets = F.transform(F.filter(_words(text), lambda w: w != ""), _bucket)
 
         def from_buckets(held: Column) -> Column:
-            n = F.size(held)
-            soft = F.least(F.lit(1.0), F.lit(float(EVIDENCE_WORDS)) / F.greatest(n, F.lit(1)))
             logits = [F.lit(math.log(self.priors[0]))]
-            for prior, odds in zip(self.priors[1:], self.odds[1:], strict=True):
+            for prior, base, odds in zip(self.priors[1:], self.base[1:], self.odds[1:], strict=True):
                 model = F.from_json(F.lit(json.dumps([round(x, 5) for x in odds])), "array<double>")
-                logits.append(F.lit(math.log(prior)) + _total(model, held) * soft)
+                logits.append(F.lit(math.log(prior) + base) + _total(model, F.array_distinct(held)))
             return F.array(*logits)
 
         return buckets, from_buckets
@@ -69,8 +72,22 @@ def softmax(logits: Column, k: int) -> Column:
     return F.array(*(x / total for x in e))
 
 
+def _likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """G statistic of the document frequencies ``n`` (sets x buckets) among ``held`` documents a set."""
+    expected = held[:, None] * n.sum(axis=0) / max(held.sum(), 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        have = np.where(n > 0, n * np.log(n / expected), 0)
+        lack = np.where(held[:, None] > n, (held[:, None] - n) * np.log((held[:, None] - n) / (held[:, None] - expected)), 0)
+    return 2 * (have + lack).sum(axis=0)
+
+
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DomainModel:
-    """Count a naive Bayes model from ``labelled(id, domain)`` joined to ``docs``.
+    """Count a naive Bayes model of word presence from ``labelled(id, domain)`` joined to ``docs``.
+
+    Only buckets count whose document frequency differs between domains beyond
+    chance, as rare words would drown them in noise, and for each domain only
+    those that are more frequent there than in the first: words that others
+    lack by language or length say nothing.
 
     Of more than ``train_docs`` labelled rows, those are learned from whose
     hashed id falls in the matching share; that side of the join is then
@@ -83,15 +100,19 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(sample), "id")
-    words = rows.select("domain", F.explode(_words(F.col("t"))).alias("w")).where(F.col("w") != "")
-    counted = {(r["domain"], r["b"]): r["n"] for r in words.groupBy("domain", _bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = np.array([[counted.get((d, b), 0) for b in range(BUCKETS)] for d in domains], dtype=float)
-    background = (n.sum(axis=0) + 1) / (n.sum() + BUCKETS)
-    weight = 2000.0  # words of background that smooth each domain's own shares
-    logs = np.log((n + weight * background) / (n.sum(axis=1, keepdims=True) + weight))
-    prior = np.array([sizes.get(d, 0) + 1 for d in domains], dtype=float)
-    return DomainModel(domains, (prior / prior.sum()).tolist(), (logs - logs[0]).tolist())
+    present = F.explode(F.array_distinct(F.transform(F.filter(_words(F.col("t")), lambda w: w != ""), _bucket))).alias("b")
+    counted = {(r["domain"], r["b"]): r["n"] for r in rows.select("domain", present).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = np.array([sizes.get(d, 0) for d in domains], dtype=float)
+    n = np.zeros((len(domains), BUCKETS))
+    for (d, b), k in counted.items():
+        n[domains.index(d), b] = k
+    prior = (held + 1) / (held + 1).sum()
+    share = n.sum(axis=0) / max(held.sum(), 1)
+    p = np.clip((n + SMOOTHING * share) / (held[:, None] + SMOOTHING), 1e-5, 1 - 1e-5)
+    own = np.stack([(_likelihood_ratio(n[[0, k]], held[[0, k]]) >= EVIDENCE) & (p[k] > p[0]) for k in range(len(domains))])
+    present_, absent = np.log(p / p[0]) * own, np.log((1 - p) / (1 - p[0])) * own
+    return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present_ - absent).tolist())
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .._ship import ensure_importable
 from ..functions import hashing, scalars
 from ..operators import acks, compaction, control, log, metrics, policy, retention
 from ..schema import GROUP, SHARD
@@ -35,7 +37,12 @@ _OA = "oa AS (SELECT DISTINCT l_returnflag AS grp, l_orderkey AS off FROM lineit
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_importable(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             ORACLES[f.__name__] = sql
         return f

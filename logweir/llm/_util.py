@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+from .._ship import ensure_importable
 
 #: White space that separates words: space and U+0009 to U+000D.
 WORD_SPACE = "\\x20\\x09-\\x0D"
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package.
-
-    A cluster job that was started with the package on ``PYTHONPATH`` (or in
-    its image) needs nothing; otherwise the sources are shipped once.
-    """
-    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(_PACKAGE_ROOT) in paths or getattr(spark.sparkContext, "_logweir_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="logweir-src-")) / "logweir_src.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted((_PACKAGE_ROOT / "logweir").rglob("*.py")):
-            z.write(p, p.relative_to(_PACKAGE_ROOT))
-    spark.sparkContext.addPyFile(str(archive))
-    spark.sparkContext._logweir_shipped = True
+__all__ = ["WORD_SPACE", "ensure_importable", "materialize", "shared_dir", "shuffle_partitions", "table", "text_or_empty"]
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

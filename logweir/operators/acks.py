@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .._ship import ensure_importable
 from ..schema import ACK_STATE, GROUP, SHARD
 
 
@@ -135,6 +136,7 @@ def fold_acks(acks: DataFrame) -> DataFrame:
             state.apply(e.kind, e.offsets, e.watermark)
         return pd.DataFrame([(*key, *state.row())], columns=ACK_STATE.names)
 
+    ensure_importable(acks.sparkSession)
     return acks.groupBy(*GROUP).applyInPandas(fold, ACK_STATE)
 
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .._ship import ensure_importable
 from ..functions.scalars import message_size
 from ..schema import FLUSH_BYTES, INDEX_EVERY, SHARD
 
@@ -147,6 +148,7 @@ def flush_segments(messages: DataFrame, threshold: int = FLUSH_BYTES) -> DataFra
                     segment, held = segment + 1, 0
             yield f.assign(segment=out)
 
+    ensure_importable(messages.sparkSession)
     rows = messages.select(*SHARD, "offset", "bytes").repartition(*SHARD).sortWithinPartitions(*SHARD, "offset")
     return rows.mapInPandas(run, schema)
 

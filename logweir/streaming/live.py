@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from .._ship import ensure_importable
 from ..operators.acks import AckState
 from ..schema import ACK_STATE, ACKS, CHECKPOINT_INTERVAL_US, GROUP, MESSAGES, SHARD
 from ..sources import tables
@@ -49,6 +50,7 @@ def ack_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def ack_state_stream(acks: DataFrame) -> DataFrame:
     """Ack state per group, updated with every micro-batch.  Needs the RocksDB state store."""
+    ensure_importable(acks.sparkSession)
     return acks.groupBy(*GROUP).transformWithStateInPandas(statefulProcessor=AckProcessor(), outputStructType=ACK_STATE, outputMode="Update", timeMode="None")
 
 
@@ -115,4 +117,5 @@ class CheckpointProcessor(StatefulProcessor):
 def checkpoint_stream(progress: DataFrame, interval_us: int | None = None, count: int | None = None) -> DataFrame:
     """Checkpoint proposals from a stream of ``(group, low_watermark, at_us)``."""
     schema = "stream string, vshard int, consumer_group string, watermark long, at_us long"
+    ensure_importable(progress.sparkSession)
     return progress.groupBy(*GROUP).transformWithStateInPandas(statefulProcessor=CheckpointProcessor(interval_us, count), outputStructType=schema, outputMode="Append", timeMode="None")

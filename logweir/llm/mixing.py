@@ -3,13 +3,15 @@
 A naive Bayes classifier, counted from labelled documents, gives each document
 posteriors over domains.  Nonnegative document rates then minimise the squared
 gap between expected domain token totals and their targets by projected
-gradient steps: each step is one aggregation over the documents to as many
-numbers as there are domains.
+gradient steps, and where these are slow by implicit ones, whose lengths a
+Newton search over the few domain multipliers finds: each step is one
+aggregation over the documents to a few numbers for each pair of domains.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 from collections.abc import Callable
 
@@ -25,6 +27,11 @@ BUCKETS, TRAIN_DOCS, EVIDENCE = 65_536, 8000, 30.0
 #: Document frequency of the whole sample that smooths each domain's own, in documents.
 SMOOTHING = 5.0
 STEPS, TOLERANCE = 25, 1e-4
+#: Implicit steps are as long as the inverse of each of these gradient steps, until the tolerance is met, and Newton
+#: steps of each at most.  What the last one leaves, no rates that are not huge can close.
+DAMPINGS, SEARCH = (1e-4, 1e-6, 1e-8, 1e-10), 60
+
+_LOG = logging.getLogger(__name__)
 
 
 def _words(text: Column) -> Column:
@@ -127,33 +134,33 @@ def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text
 
 def _rate(p: Column, k: int, steps: list[list[float]]) -> Column:
     """Rates after ``steps``.  They come as one array constant, so a further step compiles no new code."""
+    return F.greatest(F.lit(0.0), _unbounded(p, k, steps)) if steps else F.lit(1.0)
+
+
+def _unbounded(p: Column, k: int, steps: list[list[float]]) -> Column:
+    """Rates after ``steps``, the last of them without its projection at zero."""
     taken = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
 
     def step(r: Column, g: Column) -> Column:
         change = F.get(p, F.lit(0)) * F.get(g, F.lit(0))
         for i in range(1, k):
             change = change + F.get(p, F.lit(i)) * F.get(g, F.lit(i))
-        return F.greatest(F.lit(0.0), r - change)
+        return F.greatest(F.lit(0.0), r) - change
 
     return F.aggregate(taken, F.lit(1.0), step)
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[Column, list[dict]]:
-    """The rate of each row of ``rows(n, p)`` as an expression, and the gap after each step.
-
-    Minimises the gap between ``sum(rate * n * p)`` and ``targets`` (shares of
-    all tokens) over rates of zero or more, in the norm given by the inverse of
-    ``sum(n * p * p')``; in that norm and the token-weighted one of the rates the
-    gradient's Lipschitz constant is 1, so full steps descend.  Rates start at 1.
-    """
+def _descend(rows: DataFrame, targets: list[float], steps: int, tolerance: float, n: str, p: str) -> tuple[list[list[float]], list[dict], float, np.ndarray, np.ndarray]:
+    """Gradient steps taken and the gap after each, the total, the norm's matrix and the wanted shares."""
     k = len(targets)
     pc, nc = F.col(p), F.col(n).cast("double")
     first = rows.agg(F.sum(nc).alias("total"), *(F.sum(nc * pc[i] * pc[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k))).first()
     total = first["total"] or 0.0
     if total <= 0:
-        return F.lit(1.0), []
+        return [], [], 0.0, np.eye(k), np.zeros(k)
     m = np.array([[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    inverse = np.linalg.inv(m + 1e-6 * np.trace(m) / k * np.eye(k))
+    metric = m + 1e-6 * np.trace(m) / k * np.eye(k)
+    inverse = np.linalg.inv(metric)
     want = np.array(targets, dtype=float) / sum(targets)
     taken: list[list[float]] = []
     history = []
@@ -164,23 +171,87 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
         if history[-1]["gap"] <= tolerance:
             break
         taken.append([float(x) for x in inverse @ gap])
+    return taken, history, total, metric, want
+
+
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[Column, list[dict]]:
+    """The rate of each row of ``rows(n, p)`` after ``steps`` gradient steps as an expression, and the gap before each step.
+
+    Minimises the gap between ``sum(rate * n * p)`` and ``targets`` (shares of
+    all tokens) over rates of zero or more, in the norm given by the inverse of
+    ``sum(n * p * p')``; in that norm and the token-weighted one of the rates the
+    gradient's Lipschitz constant is 1, so full steps descend.  Rates start at 1.
+    These are the first steps of ``reach_rates``, which goes on to the targets.
+    """
+    taken, history, *_ = _descend(rows, targets, steps, tolerance, n, p)
+    return _rate(F.col(p), len(targets), taken), history
+
+
+def reach_rates(rows: DataFrame, targets: list[float], tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[Column, list[dict]]:
+    """Like ``fit_rates``, but until the gap is at most ``tolerance`` or the least that any rates leave.
+
+    Where gradient steps end short, implicit ones follow: of the lengths ``1 / DAMPINGS``,
+    along the gap at their end.  Such a step minimises a convex function of one
+    multiplier a domain, by Newton's method with halved steps.  The last entry of
+    the history has the gap of the returned rates.
+    """
+    k = len(targets)
+    pc, nc = F.col(p), F.col(n).cast("double")
+    taken, history, total, metric, want = _descend(rows, targets, STEPS, tolerance, n, p)
+
+    def at(multipliers: np.ndarray, damping: float) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+        """The convex function, the gap, the curvature and the totals where a further step takes ``multipliers``."""
+        x = rows.select(nc.alias("n"), pc.alias("p"), _unbounded(pc, k, [*taken, [float(v) for v in multipliers]]).alias("x"))
+        inside, w = F.col("x") > 0, F.col("n") * F.greatest(F.lit(0.0), F.col("x"))
+        sums = [F.sum(w * F.greatest(F.lit(0.0), F.col("x"))).alias("f"), *(F.sum(w * F.col("p")[i]).alias(f"t{i}") for i in range(k))]
+        sums += [F.sum(F.when(inside, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
+        r = x.agg(*sums).first()
+        totals = [float(r[f"t{i}"] or 0.0) for i in range(k)]
+        h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) / total
+        value = damping * multipliers @ metric @ multipliers / 2 + (r["f"] or 0.0) / total / 2 + want @ multipliers
+        return float(value), np.array(totals) / total - want, h, totals
+
+    if history and history[-1]["gap"] > tolerance:
+        for damping in DAMPINGS:
+            multipliers = np.zeros(k)
+            value, gap, h, totals = at(multipliers, damping)
+            for _ in range(SEARCH):
+                slope = damping * metric @ multipliers - gap
+                if np.abs(slope).max() <= tolerance / 10:
+                    break
+                change, length = np.linalg.solve(damping * metric + h, -slope), 1.0
+                found = at(multipliers + change, damping)
+                while found[0] > value + 1e-4 * length * float(slope @ change) + 1e-13 * abs(value) and length > 1e-6:
+                    length /= 2
+                    found = at(multipliers + length * change, damping)
+                multipliers = multipliers + length * change
+                value, gap, h, totals = found
+            taken.append([float(v) for v in multipliers])
+            history.append({"totals": totals, "gap": float(np.abs(gap).max())})
+            if history[-1]["gap"] <= tolerance:
+                break
+        if history[-1]["gap"] > tolerance:
+            _LOG.warning("mixing: no rates reach the targets; a gap of %.5f of all tokens is left", history[-1]["gap"])
     return _rate(pc, k, taken), history
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``keep``, ``n_tokens``, ``p_<domain>`` and ``rate`` for each row of ``docs``.
+    """``keep``, ``n_tokens``, ``p_<domain>``, ``rate`` and ``gap`` for each row of ``docs``.
 
-    ``targets`` maps domains to shares of all tokens.  Null and empty texts have
-    no tokens and get the rate of their prior; repeated rows each come back; an
-    empty table gives no rows.
+    ``targets`` maps domains to shares of all tokens.  ``gap``, alike in all rows,
+    is the greatest difference that the rates leave to them, over ``TOLERANCE``
+    where no rates reach them, and null where there are no tokens.  Null and
+    empty texts have no tokens and get the rate of their prior; repeated rows each
+    come back; an empty table gives no rows.
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
     slots = tuple(f"__k{i}" for i in range(len(keep)))
     source = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(keep, slots, strict=True)), F.col(f"`{text_col}`").alias("__text"))
     rows = materialize(memberships(source, model, slots, "__text"), "mix-members")
-    rate, _ = fit_rates(rows, [targets[d] for d in domains])
-    return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"))
+    rate, history = reach_rates(rows, [targets[d] for d in domains])
+    gap = F.lit(history[-1]["gap"] if history else None).cast("double")
+    return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"), gap.alias("gap"))
 
 
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,7 +261,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id
     buckets, logits = model.posteriors(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     rows = docs.withColumn("__b", buckets).withColumn("__z", logits(F.col("__b"))).withColumn("__n", F.size("__b").cast("long"))
     rows = materialize(rows.withColumn("__p", softmax(F.col("__z"), len(domains))).drop("__b", "__z"), "mix-members")
-    rate, _ = fit_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
+    rate, _ = reach_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
     unit = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(rate + unit).cast("int")
     return rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -112,6 +112,25 @@ def test_rates(spark, targets):
     assert gaps[-1] <= gaps[0] and (gaps[-1] <= 1e-3 or targets[1:] == [0.0, 0.0])
 
 
+@pytest.mark.parametrize("targets", [[0.4, 0.4, 0.2], [0.3, 0.3, 0.4], [1.0, 0.0, 0.0]])
+def test_rates_reach_their_targets(spark, targets):
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([2, 0.3, 0.2], 200)
+    n = rng.integers(0, 500, 200).astype(float)
+    df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(200)], "i long, n_tokens long, p array<double>")
+    rate, history = mixing.reach_rates(df, targets)
+    got = np.array([r.r for r in df.orderBy("i").select(rate.alias("r")).collect()])
+    gap = np.abs((got * n) @ p / n.sum() - np.array(targets)).max()
+    assert (got >= 0).all() and np.isclose(gap, history[-1]["gap"], atol=1e-9)
+    assert gap <= mixing.TOLERANCE < np.abs((_fit(p, n, targets) * n) @ p / n.sum() - np.array(targets)).max()
+
+
+def test_targets_out_of_reach_leave_a_gap(spark):
+    df = spark.createDataFrame([(10, [0.9, 0.1]), (30, [0.6, 0.4])], "n_tokens long, p array<double>")
+    _, history = mixing.reach_rates(df, [0.0, 1.0])
+    assert history[-1]["gap"] > 0.1 and len(history) < mixing.STEPS + 10
+
+
 def test_mixing_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_mixing(spark, sf).toPandas()

@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 
 from ._util import WORD_SPACE, materialize
 
-#: Hash buckets of words; expected labelled documents learned from; least likelihood-ratio
-#: statistic of a bucket that counts (chance alone passes 30 in one of 10^7 buckets or so).
+#: Hash buckets of features; expected labelled documents learned from; likelihood-ratio statistic
+#: at which a bucket's log odds get a quarter of their weight (chance alone has a mean of 1).
 BUCKETS, TRAIN_DOCS, EVIDENCE = 65_536, 8000, 30.0
+#: Weight of the absence of a bucket: most absences go together, as those of all marks of junk do.
+ABSENCE = 0.1
 #: Document frequency of the whole sample that smooths each domain's own, in documents.
 SMOOTHING = 5.0
 STEPS, TOLERANCE = 25, 1e-4
@@ -31,6 +33,9 @@ STEPS, TOLERANCE = 25, 1e-4
 #: steps of each at most.  What the last one leaves, no rates that are not huge can close.
 DAMPINGS, SEARCH = (1e-4, 1e-6, 1e-8, 1e-10), 60
 
+#: ASCII signs as a part of a character class: classes within Latin-1 are quick bit sets.
+SIGNS = "!-/:-@\\[-^`{-~"
+
 _LOG = logging.getLogger(__name__)
 
 
@@ -39,8 +44,36 @@ def _words(text: Column) -> Column:
     return F.split(text, f"[{WORD_SPACE}]+")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+def _bucket(kind: str, value: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(kind), value), F.lit(BUCKETS)).cast("int")
+
+
+def _filled(words: Column) -> Column:
+    return F.filter(words, lambda w: w != "")
+
+
+def with_features(docs: DataFrame, text_col: str, count: str, held: str) -> DataFrame:
+    """``docs`` with the number of words of ``text_col`` as ``count`` and its distinct buckets as ``held``.
+
+    Buckets are of each word in lower case without ASCII signs, of runs of
+    signs, and of shares: distinct words, runs of signs and of capitals for each
+    word, distinct lines.  Each pattern runs once over a text.
+    """
+    t, w, s, v, m = (f"__f{x}" for x in "twsvm")
+    out = docs.withColumn(t, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    out = out.withColumns({
+        w: _filled(_words(F.col(t))),
+        s: F.regexp_extract_all(t, F.lit(f"[{SIGNS}]+"), F.lit(0)),
+        v: F.array_distinct(_filled(_words(F.lower(F.regexp_replace(t, f"[{SIGNS}]+", ""))))),
+        m: F.split(t, "\n"),
+    })
+    n = F.greatest(F.size(w), F.lit(1))
+    odd = F.size(F.filter(s, lambda x: ~x.isin(".", ",")))
+    capitals = F.regexp_count(t, F.lit("[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,}"))
+    shares = {"d": 10 * F.size(F.array_distinct(w)) / n, "y": 5 * odd / n, "u": 5 * capitals / n, "l": 5 * F.size(F.array_distinct(m)) / F.size(m)}
+    doc = F.when(F.size(w) > 0, F.array(*(_bucket(k, F.floor(x)) for k, x in shares.items()))).otherwise(F.array().cast("array<int>"))
+    found = F.concat(F.transform(v, lambda x: _bucket("w", x)), F.transform(F.array_distinct(s), lambda x: _bucket("s", x)), doc)
+    return out.withColumns({count: F.size(w).cast("long"), held: F.array_distinct(found)}).drop(t, w, s, v, m)
 
 
 def _total(model: Column, buckets: Column) -> Column:
@@ -50,24 +83,19 @@ def _total(model: Column, buckets: Column) -> Column:
 class DomainModel:
     """Priors, and per bucket the log odds of its presence for each domain against the first.
 
-    ``base`` is the evidence of a document that has none of the counting buckets.
+    ``base`` is the evidence of a document that has none of the buckets.
     """
 
     def __init__(self, domains: list[str], priors: list[float], base: list[float], odds: list[list[float]]):
         self.domains, self.priors, self.base, self.odds = domains, priors, base, odds
 
-    def posteriors(self, text: Column) -> tuple[Column, Callable[[Column], Column]]:
-        """A text's words as buckets, and the logits over ``domains`` from them."""
-        buckets = F.transform(F.filter(_words(text), lambda w: w != ""), _bucket)
-
-        def from_buckets(held: Column) -> Column:
-            logits = [F.lit(math.log(self.priors[0]))]
-            for prior, base, odds in zip(self.priors[1:], self.base[1:], self.odds[1:], strict=True):
-                model = F.from_json(F.lit(json.dumps([round(x, 5) for x in odds])), "array<double>")
-                logits.append(F.lit(math.log(prior) + base) + _total(model, F.array_distinct(held)))
-            return F.array(*logits)
-
-        return buckets, from_buckets
+    def logits(self, held: Column) -> Column:
+        """The logits over ``domains`` from a text's distinct buckets."""
+        logits = [F.lit(math.log(self.priors[0]))]
+        for prior, base, odds in zip(self.priors[1:], self.base[1:], self.odds[1:], strict=True):
+            model = F.from_json(F.lit(json.dumps([round(x, 5) for x in odds])), "array<double>")
+            logits.append(F.lit(math.log(prior) + base) + _total(model, held))
+        return F.array(*logits)
 
 
 def softmax(logits: Column, k: int) -> Column:
@@ -89,12 +117,12 @@ def _likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DomainModel:
-    """Count a naive Bayes model of word presence from ``labelled(id, domain)`` joined to ``docs``.
+    """Count a naive Bayes model of feature presence from ``labelled(id, domain)`` joined to ``docs``.
 
-    Only buckets count whose document frequency differs between domains beyond
-    chance, as rare words would drown them in noise, and for each domain only
-    those that are more frequent there than in the first: words that others
-    lack by language or length say nothing.
+    Every bucket counts, its log odds shrunken by the evidence that its document
+    frequency differs between the domain and the first: by ``(G / (G + EVIDENCE)) ** 2``
+    of the likelihood-ratio statistic, as the many rare words would drown the
+    others in noise.
 
     Of more than ``train_docs`` labelled rows, those are learned from whose
     hashed id falls in the matching share; that side of the join is then
@@ -107,8 +135,8 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(sample), "id")
-    present = F.explode(F.array_distinct(F.transform(F.filter(_words(F.col("t")), lambda w: w != ""), _bucket))).alias("b")
-    counted = {(r["domain"], r["b"]): r["n"] for r in rows.select("domain", present).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    present = with_features(rows, "t", "n_", "held").select("domain", F.explode_outer("held").alias("b")).where("b IS NOT NULL")  # explode has its input computed once more, in a filter
+    counted = {(r["domain"], r["b"]): r["n"] for r in present.groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = np.array([sizes.get(d, 0) for d in domains], dtype=float)
     n = np.zeros((len(domains), BUCKETS))
@@ -117,18 +145,17 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     prior = (held + 1) / (held + 1).sum()
     share = n.sum(axis=0) / max(held.sum(), 1)
     p = np.clip((n + SMOOTHING * share) / (held[:, None] + SMOOTHING), 1e-5, 1 - 1e-5)
-    own = np.stack([(_likelihood_ratio(n[[0, k]], held[[0, k]]) >= EVIDENCE) & (p[k] > p[0]) for k in range(len(domains))])
-    present_, absent = np.log(p / p[0]) * own, np.log((1 - p) / (1 - p[0])) * own
+    g = np.stack([_likelihood_ratio(n[[0, k]], held[[0, k]]) for k in range(len(domains))])
+    weight = (g / (g + EVIDENCE)) ** 2
+    present_, absent = np.log(p / p[0]) * weight, ABSENCE * np.log((1 - p) / (1 - p[0])) * weight
     return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present_ - absent).tolist())
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``keep``, ``n_tokens`` (words) and ``p`` (posteriors over the model's domains) of each row."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    buckets, logits = model.posteriors(text)
     slots = [f"__m{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(keep, slots, strict=True)), buckets.alias("__b"))
-    rows = rows.select(*slots, F.size("__b").cast("long").alias("__n"), logits(F.col("__b")).alias("__z"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(keep, slots, strict=True)), F.col(f"`{text_col}`").alias("__t"))
+    rows = with_features(rows, "__t", "__n", "__b").select(*slots, "__n", model.logits(F.col("__b")).alias("__z"))
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), F.col("__n").alias("n_tokens"), softmax(F.col("__z"), len(model.domains)).alias("p"))
 
 
@@ -258,8 +285,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id
     """``docs`` with each row as often as its rate: the whole part, and once more by a hash of id and length for the fraction."""
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
-    buckets, logits = model.posteriors(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    rows = docs.withColumn("__b", buckets).withColumn("__z", logits(F.col("__b"))).withColumn("__n", F.size("__b").cast("long"))
+    rows = with_features(docs, text_col, "__n", "__b").withColumn("__z", model.logits(F.col("__b")))
     rows = materialize(rows.withColumn("__p", softmax(F.col("__z"), len(domains))).drop("__b", "__z"), "mix-members")
     rate, _ = reach_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
     unit = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 20)) / float(1 << 20)

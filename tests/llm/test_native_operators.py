@@ -143,6 +143,19 @@ def test_mixing_on_the_tables(spark):
     assert (low.p_low > 0.5).mean() > 0.4 and (good.p_good > 0.5).mean() > 0.97 and (toxic.p_toxic > 0.5).mean() > 0.5
 
 
+def test_domains_are_recalled(spark):
+    """Of the labelled rows, and of those that the model has not seen (by halves of the hashed id)."""
+    for sf, seen in (("/root/testdata/sf0.01", True), ("/root/testdata/sf0.1", False)):
+        docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+        half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+        model = mixing.learn_domains(docs, labels if seen else labels.where(half == 0), sorted(queries.TARGETS))
+        of = labels if seen else labels.where(half == 1)
+        rows = mixing.memberships(docs.join(of, "doc_id"), model, ("domain",)).toPandas()
+        recall = {d: (np.stack(rows[rows.domain == d].p)[:, k] > 0.5).mean() for k, d in enumerate(model.domains)}
+        print(sf, "held out" if not seen else "learned from", rows.domain.value_counts().to_dict(), recall)
+        assert recall["good"] > 0.97 and recall["low"] > 0.7 and recall["toxic"] > (0.7 if seen else 0.6), recall
+
+
 def test_mixing_edge_rows(spark):
     kind = "doc_id long, text string, rate string, p string"
     labels = spark.createDataFrame([(1, "good"), (1, "good"), (None, "low")], "doc_id long, domain string")

@@ -281,13 +281,23 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"), gap.alias("gap"))
 
 
-def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with each row as often as its rate: the whole part, and once more by a hash of id and length for the fraction."""
+def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with each row as often as its rate: the whole part, and once more by a hash of id and length for the fraction.
+
+    A target of None is measured: the expected tokens that the domain has in
+    documents which more probably than not are of such domains; the other domains
+    then aim at what these same documents hold of them, near zero.  Rates of 1
+    for these documents and of 0 for others meet all of that, at any share.
+    """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
     rows = with_features(docs, text_col, "__n", "__b").withColumn("__z", model.logits(F.col("__b")))
     rows = materialize(rows.withColumn("__p", softmax(F.col("__z"), len(domains))).drop("__b", "__z"), "mix-members")
-    rate, _ = reach_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
+    measured = [F.col("__p")[i] for i, d in enumerate(domains) if targets[d] is None]
+    if measured:
+        rate = F.when(sum(measured[1:], measured[0]) >= 0.5, 1.0).otherwise(0.0)
+    else:
+        rate, _ = reach_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
     unit = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(rate + unit).cast("int")
     return rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -167,6 +167,19 @@ def test_mixing_edge_rows(spark):
     assert mixing.resample(df.where("doc_id = 2"), labels, {"good": 1.0}).count() == 1
 
 
+@pytest.mark.parametrize("one_in", [1, 10])
+def test_good_documents_come_once_at_any_toxic_share(spark, one_in):
+    sf = "/root/testdata/sf0.01"
+    labels = queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.where("domain != 'low'"), "doc_id")
+    docs = docs.where((F.col("domain") == "good") | (F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0))
+    before = docs.groupBy("domain").count().toPandas().set_index("domain")["count"]
+    out = mixing.resample(docs, labels, queries.PIPELINE_TARGETS).select("doc_id", "domain").toPandas()
+    kept = {d: (out.domain == d).sum() / before[d] for d in before.index}
+    print(one_in, before.to_dict(), kept)
+    assert not out.doc_id.duplicated().any() and kept["good"] > 0.97 and (kept["toxic"] < 0.3 or one_in > 1)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -541,14 +541,14 @@ def segment_names(spark, d):
 
 @query("""SELECT s_suppkey, greatest(0, CAST(s_acctbal AS BIGINT) - s_suppkey * 10) AS lag FROM supplier WHERE s_suppkey % 4 <> 0""")
 def replication_lag(spark, d):
-    s = b.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4 == 0).alias("is_leader"), F.round("s_acctbal").cast("long").alias("leader_commit"), (F.col("s_suppkey") * 10).alias("commit_index"))
+    s = b.table(spark, d, "supplier").select("s_suppkey", (F.col("s_suppkey") % 4 == 0).alias("is_leader"), F.rint("s_acctbal").cast("long").alias("leader_commit"), (F.col("s_suppkey") * 10).alias("commit_index"))
     return metrics.replication_lag(s).select("s_suppkey", "lag")
 
 
 @query("SELECT bool_or(s_suppkey % 4 = 0) AND min(CAST(s_acctbal * 100 AS BIGINT)) >= -200000 AS ready, NOT bool_or(s_suppkey % 1000 = 999) AS alive FROM supplier")
 def health(spark, d):
     k = F.col("s_suppkey")
-    s = b.table(spark, d, "supplier").select((k % 4 == 0).alias("is_leader"), F.lit(False).alias("has_contact"), (k % 1000 == 999).alias("is_stuck"), F.round(F.col("s_acctbal") * 100).cast("long").alias("free_bytes"))
+    s = b.table(spark, d, "supplier").select((k % 4 == 0).alias("is_leader"), F.lit(False).alias("has_contact"), (k % 1000 == 999).alias("is_stuck"), F.rint(F.col("s_acctbal") * 100).cast("long").alias("free_bytes"))
     return metrics.health(s, -200_000)
 
 

@@ -46,3 +46,16 @@ def test_query_without_sql_runs(spark, sf, name):
 def test_codec_query_round_trips(spark, sf):
     rows = catalogue.QUERIES["codec_roundtrip"](spark, sf)
     assert rows.where("status <> 'ok' OR NOT same").count() == 0
+
+
+@pytest.mark.parametrize("name", ["replication_lag", "health"])
+def test_halves_round_to_even(spark, tmp_path, name):
+    """Balances that lie halfway between two whole numbers, as large tables have them."""
+    balances = [i + 0.5 for i in range(-20, 400)] + [i + 0.125 for i in range(20)]
+    spark.createDataFrame([(k % 50, x) for k, x in enumerate(balances)], "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    got = c.execute(catalogue.ORACLES[name])
+    columns = [x[0] for x in got.description]
+    assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(columns, got.fetchall())

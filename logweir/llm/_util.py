@@ -14,17 +14,33 @@ from .._ship import ensure_importable
 WORD_SPACE = "\\x20\\x09-\\x0D"
 
 
-__all__ = ["WORD_SPACE", "ensure_importable", "materialize", "shared_dir", "shuffle_partitions", "table", "text_or_empty"]
+__all__ = ["WORD_SPACE", "ensure_importable", "hidden", "materialize", "quoted", "shared_dir", "table"]
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and backquotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def hidden(columns: list[str]) -> str:
+    """A prefix that no name of ``columns`` has, whatever its case: for helper columns."""
+    taken, prefix = [c.lower() for c in columns], "__h"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``.  Where it is unset
-    (local tests) a temporary folder of this process is set.
+    and the master is local (tests) a temporary folder of this process is set;
+    on a cluster no other machine would see that, so it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_logweir_dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="logweir-shared-")
         spark.sparkContext._logweir_dir = base
     return f"{base.rstrip('/')}/logweir/{name}-{uuid.uuid4().hex}"
@@ -42,11 +58,3 @@ def materialize(df: DataFrame, name: str, *, partitions: int | None = None) -> D
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import WORD_SPACE, materialize
+from ._util import WORD_SPACE, hidden, materialize, quoted
 
 #: Hash buckets of features; expected labelled documents learned from; likelihood-ratio statistic
 #: at which a bucket's log odds get a quarter of their weight (chance alone has a mean of 1).
@@ -35,43 +35,39 @@ DAMPINGS, SEARCH = (1e-4, 1e-6, 1e-8, 1e-10), 60
 
 #: ASCII signs as a part of a character class: classes within Latin-1 are quick bit sets.
 SIGNS = "!-/:-@\\[-^`{-~"
+#: Posteriors are whole multiples of one part in so many: documents with equal ones have equal rates, so rates are fitted
+#: to the sums of tokens of each posterior, at most 501,501 of three domains, however many documents there are.
+GRID = 1000
 
 _LOG = logging.getLogger(__name__)
 
 
-def _words(text: Column) -> Column:
-    """Words of a text, with an empty string where it begins or ends in white space."""
-    return F.split(text, f"[{WORD_SPACE}]+")
-
-
 def _bucket(kind: str, value: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(kind), value), F.lit(BUCKETS)).cast("int")
 
 
-def _filled(words: Column) -> Column:
-    return F.filter(words, lambda w: w != "")
-
-
 def with_features(docs: DataFrame, text_col: str, count: str, held: str) -> DataFrame:
     """``docs`` with the number of words of ``text_col`` as ``count`` and its distinct buckets as ``held``.
 
-    Buckets are of each word in lower case without ASCII signs, of runs of
-    signs, and of shares: distinct words, runs of signs and of capitals for each
-    word, distinct lines.  Each pattern runs once over a text.
+    Words are runs of neither white space nor ASCII signs.  Buckets are of each
+    word in lower case, of runs of signs, and of shares: distinct words, runs of
+    signs and of capitals for each word, distinct lines.  Each pattern runs once
+    over a text.
     """
-    t, w, s, v, m = (f"__f{x}" for x in "twsvm")
-    out = docs.withColumn(t, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    h = hidden([*docs.columns, count, held])
+    t, w, s, v, m = (f"{h}f{x}" for x in "twsvm")
+    out = docs.withColumn(t, F.coalesce(quoted(text_col).cast("string"), F.lit("")))
     out = out.withColumns({
-        w: _filled(_words(F.col(t))),
+        w: F.array_remove(F.split(F.lower(t), f"[{WORD_SPACE}{SIGNS}]+"), ""),
         s: F.regexp_extract_all(t, F.lit(f"[{SIGNS}]+"), F.lit(0)),
-        v: F.array_distinct(_filled(_words(F.lower(F.regexp_replace(t, f"[{SIGNS}]+", ""))))),
         m: F.split(t, "\n"),
     })
+    out = out.withColumn(v, F.array_distinct(w))
     n = F.greatest(F.size(w), F.lit(1))
-    odd = F.size(F.filter(s, lambda x: ~x.isin(".", ",")))
+    odd = F.size(F.array_remove(F.array_remove(s, "."), ","))
     capitals = F.regexp_count(t, F.lit("[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,}"))
-    shares = {"d": 10 * F.size(F.array_distinct(w)) / n, "y": 5 * odd / n, "u": 5 * capitals / n, "l": 5 * F.size(F.array_distinct(m)) / F.size(m)}
-    doc = F.when(F.size(w) > 0, F.array(*(_bucket(k, F.floor(x)) for k, x in shares.items()))).otherwise(F.array().cast("array<int>"))
+    shares = {"d": 10 * F.size(v) / n, "y": 5 * odd / n, "u": 5 * capitals / n, "l": 5 * F.size(F.array_distinct(m)) / F.size(m)}
+    doc = F.when(F.size(w) + F.size(s) > 0, F.array(*(_bucket(k, F.floor(x)) for k, x in shares.items()))).otherwise(F.array().cast("array<int>"))
     found = F.concat(F.transform(v, lambda x: _bucket("w", x)), F.transform(F.array_distinct(s), lambda x: _bucket("s", x)), doc)
     return out.withColumns({count: F.size(w).cast("long"), held: F.array_distinct(found)}).drop(t, w, s, v, m)
 
@@ -81,7 +77,7 @@ def _total(model: Column, buckets: Column) -> Column:
 
 
 class DomainModel:
-    """Priors, and per bucket the log odds of its presence for each domain against the first.
+    """Priors, and per bucket and domain the evidence of its presence against the mean of all domains.
 
     ``base`` is the evidence of a document that has none of the buckets.
     """
@@ -90,12 +86,16 @@ class DomainModel:
         self.domains, self.priors, self.base, self.odds = domains, priors, base, odds
 
     def logits(self, held: Column) -> Column:
-        """The logits over ``domains`` from a text's distinct buckets."""
-        logits = [F.lit(math.log(self.priors[0]))]
-        for prior, base, odds in zip(self.priors[1:], self.base[1:], self.odds[1:], strict=True):
-            model = F.from_json(F.lit(json.dumps([round(x, 5) for x in odds])), "array<double>")
-            logits.append(F.lit(math.log(prior) + base) + _total(model, held))
-        return F.array(*logits)
+        """The logits over ``domains`` from a text's distinct buckets, less that of the last.
+
+        Only differences count in a posterior, so one sum is spared.
+        """
+        start = [math.log(p) + b for p, b in zip(self.priors, self.base, strict=True)]
+        logits = []
+        for at, odds in zip(start[:-1], self.odds[:-1], strict=True):
+            model = F.from_json(F.lit(json.dumps([round(x - y, 5) for x, y in zip(odds, self.odds[-1], strict=True)])), "array<double>")
+            logits.append(F.lit(at - start[-1]) + _total(model, held))
+        return F.array(*logits, F.lit(0.0))
 
 
 def softmax(logits: Column, k: int) -> Column:
@@ -107,7 +107,15 @@ def softmax(logits: Column, k: int) -> Column:
     return F.array(*(x / total for x in e))
 
 
-def _likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
+def on_grid(p: Column) -> Column:
+    """Posteriors rounded down to the grid; what is left over goes to the greatest, the first of equal ones."""
+    units = F.transform(p, lambda x: F.floor(x * GRID))
+    left = F.lit(GRID) - F.aggregate(units, F.lit(0).cast("long"), lambda a, x: a + x)
+    top = F.array_position(p, F.array_max(p)) - 1
+    return F.transform(units, lambda x, i: (x + F.when(i == top, left).otherwise(0)) / GRID)
+
+
+def likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
     """G statistic of the document frequencies ``n`` (sets x buckets) among ``held`` documents a set."""
     expected = held[:, None] * n.sum(axis=0) / max(held.sum(), 1)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -116,24 +124,38 @@ def _likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
     return 2 * (have + lack).sum(axis=0)
 
 
+def domain_model(domains: list[str], n: np.ndarray, held: np.ndarray) -> DomainModel:
+    """The model of document frequencies ``n`` (domains x buckets) among ``held`` documents a domain.
+
+    A bucket's evidence for a domain is the log of its frequency there over the
+    geometric mean of all domains, shrunken by how surely the domain differs from the others
+    together: by ``(G / (G + EVIDENCE)) ** 2`` of the likelihood-ratio statistic,
+    as the many rare words would drown the others in noise.  All domains are
+    treated alike, so their order and names do not matter.
+    """
+    prior = (held + 1) / (held + 1).sum()
+    pooled = n.sum(axis=0) / max(held.sum(), 1)
+    p = np.clip((n + SMOOTHING * pooled) / (held[:, None] + SMOOTHING), 1e-5, 1 - 1e-5)
+    mean = np.exp(np.log(p).mean(axis=0))
+    g = np.stack([likelihood_ratio(np.stack([n[k], n.sum(axis=0) - n[k]]), np.array([held[k], held.sum() - held[k]])) for k in range(len(domains))])
+    weight = (g / (g + EVIDENCE)) ** 2
+    present, absent = np.log(p / mean) * weight, ABSENCE * np.log((1 - p) / (1 - mean)) * weight
+    return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present - absent).tolist())
+
+
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DomainModel:
     """Count a naive Bayes model of feature presence from ``labelled(id, domain)`` joined to ``docs``.
 
-    Every bucket counts, its log odds shrunken by the evidence that its document
-    frequency differs between the domain and the first: by ``(G / (G + EVIDENCE)) ** 2``
-    of the likelihood-ratio statistic, as the many rare words would drown the
-    others in noise.
-
     Of more than ``train_docs`` labelled rows, those are learned from whose
     hashed id falls in the matching share; that side of the join is then
     bounded and is broadcast.  The driver gets one number for each bucket and
     domain.  Without labels all domains are alike, and a
     repeated label counts once, so that no id can swell the broadcast.
     """
-    labelled = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).select(F.col(id_col).alias("id"), "domain").distinct()
+    labelled = labelled.where(quoted(id_col).isNotNull() & F.col("domain").isin(domains)).select(quoted(id_col).alias("id"), "domain").distinct()
     share = min(1.0, train_docs / max(1, labelled.count()))
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    texts = docs.select(quoted(id_col).alias("id"), F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("t"))
     rows = texts.join(F.broadcast(sample), "id")
     present = with_features(rows, "t", "n_", "held").select("domain", F.explode_outer("held").alias("b")).where("b IS NOT NULL")  # explode has its input computed once more, in a filter
     counted = {(r["domain"], r["b"]): r["n"] for r in present.groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -142,21 +164,22 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     n = np.zeros((len(domains), BUCKETS))
     for (d, b), k in counted.items():
         n[domains.index(d), b] = k
-    prior = (held + 1) / (held + 1).sum()
-    share = n.sum(axis=0) / max(held.sum(), 1)
-    p = np.clip((n + SMOOTHING * share) / (held[:, None] + SMOOTHING), 1e-5, 1 - 1e-5)
-    g = np.stack([_likelihood_ratio(n[[0, k]], held[[0, k]]) for k in range(len(domains))])
-    weight = (g / (g + EVIDENCE)) ** 2
-    present_, absent = np.log(p / p[0]) * weight, ABSENCE * np.log((1 - p) / (1 - p[0])) * weight
-    return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present_ - absent).tolist())
+    return domain_model(domains, n, held)
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``keep``, ``n_tokens`` (words) and ``p`` (posteriors over the model's domains) of each row."""
     slots = [f"__m{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(keep, slots, strict=True)), F.col(f"`{text_col}`").alias("__t"))
+    rows = docs.select(*(quoted(c).alias(s) for c, s in zip(keep, slots, strict=True)), quoted(text_col).alias("__t"))
     rows = with_features(rows, "__t", "__n", "__b").select(*slots, "__n", model.logits(F.col("__b")).alias("__z"))
-    return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), F.col("__n").alias("n_tokens"), softmax(F.col("__z"), len(model.domains)).alias("p"))
+    rows = rows.select(*slots, "__n", softmax(F.col("__z"), len(model.domains)).alias("__p"))
+    return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), F.col("__n").alias("n_tokens"), on_grid(F.col("__p")).alias("p"))
+
+
+def by_posterior(rows: DataFrame, n: str = "n_tokens", p: str = "p") -> DataFrame:
+    """``(n_tokens, p)``: the tokens of all rows with the same posteriors."""
+    sums = rows.groupBy(F.col(p).alias("p")).agg(F.sum(F.col(n)).alias("n_tokens"))
+    return materialize(sums.select("n_tokens", "p"), "mix-posteriors")
 
 
 def _rate(p: Column, k: int, steps: list[list[float]]) -> Column:
@@ -274,9 +297,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
     slots = tuple(f"__k{i}" for i in range(len(keep)))
-    source = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(keep, slots, strict=True)), F.col(f"`{text_col}`").alias("__text"))
+    source = docs.select(*(quoted(c).alias(s) for c, s in zip(keep, slots, strict=True)), quoted(text_col).alias("__text"))
     rows = materialize(memberships(source, model, slots, "__text"), "mix-members")
-    rate, history = reach_rates(rows, [targets[d] for d in domains])
+    rate, history = reach_rates(by_posterior(rows), [targets[d] for d in domains])
     gap = F.lit(history[-1]["gap"] if history else None).cast("double")
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"), gap.alias("gap"))
 
@@ -291,13 +314,15 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | No
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
-    rows = with_features(docs, text_col, "__n", "__b").withColumn("__z", model.logits(F.col("__b")))
-    rows = materialize(rows.withColumn("__p", softmax(F.col("__z"), len(domains))).drop("__b", "__z"), "mix-members")
-    measured = [F.col("__p")[i] for i, d in enumerate(domains) if targets[d] is None]
+    h = hidden(docs.columns)
+    n, b, z, p = (f"{h}{x}" for x in ("n", "b", "z", "p"))
+    rows = with_features(docs, text_col, n, b).withColumn(z, model.logits(F.col(b))).withColumn(p, softmax(F.col(z), len(domains)))
+    rows = materialize(rows.withColumn(p, on_grid(F.col(p))).drop(b, z), "mix-members")
+    measured = [F.col(p)[i] for i, d in enumerate(domains) if targets[d] is None]
     if measured:
         rate = F.when(sum(measured[1:], measured[0]) >= 0.5, 1.0).otherwise(0.0)
     else:
-        rate, _ = reach_rates(rows, [targets[d] for d in domains], n="__n", p="__p")
-    unit = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.length(F.col(f"`{text_col}`").cast("string"))), F.lit(1 << 20)) / float(1 << 20)
+        rate, _ = reach_rates(by_posterior(rows, n, p).withColumnRenamed("p", p), [targets[d] for d in domains], p=p)
+    unit = F.pmod(F.xxhash64(quoted(id_col), F.length(quoted(text_col).cast("string"))), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(rate + unit).cast("int")
-    return rows.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rows.where(copies > 0).withColumn(f"{h}copy", F.explode(F.sequence(F.lit(1), copies))).select(*(quoted(c) for c in docs.columns))

@@ -156,6 +156,67 @@ def test_domains_are_recalled(spark):
         assert recall["good"] > 0.97 and recall["low"] > 0.7 and recall["toxic"] > (0.7 if seen else 0.6), recall
 
 
+def test_names_of_domains_do_not_matter(spark):
+    """Renamed, and so differently ordered, domains get the same posteriors and rates."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    names = {"good": "z", "low": "a", "toxic": "m"}
+    renamed = labels.replace(names, subset=["domain"])
+    one = mixing.mix(docs, labels, queries.TARGETS).toPandas().set_index("doc_id").sort_index()
+    two = mixing.mix(docs, renamed, {names[d]: t for d, t in queries.TARGETS.items()}).toPandas().set_index("doc_id").sort_index()
+    for d, other in names.items():
+        assert np.allclose(one[f"p_{d}"], two[f"p_{other}"], atol=2 / mixing.GRID)
+    assert np.allclose(one.rate, two.rate, atol=0.02)
+
+
+def _plain_held(text):
+    """Words, and the places in each kind of feature, by plain Python."""
+    text = text or ""
+    signs = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
+    words = [w for w in re.split(f"[ \t-\r{re.escape(signs)}]+", text.lower()) if w]
+    runs = re.findall(f"[{re.escape(signs)}]+", text)
+    return words, runs, len(re.findall("[A-Z\u00c0-\u00d6\u00d8-\u00de]{2,}", text))
+
+
+def test_posteriors_against_plain_bayes(spark):
+    """The posteriors of the tables from a plain count of the same buckets."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), queries.domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    held = {r.doc_id: (r.n, r.held, r.text) for r in mixing.with_features(docs, "text", "n", "held").collect()}
+    for n, buckets, text in held.values():
+        words, runs, _ = _plain_held(text)
+        assert n == len(words) and len(set(buckets)) == len(buckets) <= len(set(words)) + len(set(runs)) + 4
+    domains, lab = sorted(queries.TARGETS), {r.doc_id: r.domain for r in labels.collect()}
+    m = mixing.learn_domains(docs, labels, domains)
+    lists = {d: [set(held[i][1]) for i, x in lab.items() if x == d] for d in domains}
+    size = {d: len(v) for d, v in lists.items()}
+    every = sum(size.values())
+
+    def g(have, n, other, m_):
+        out = 0.0
+        for k, of in ((have, n), (other, m_)):
+            e = of * (have + other) / (n + m_)
+            out += (k * math.log(k / e) if k else 0) + ((of - k) * math.log((of - k) / (of - e)) if of > k else 0)
+        return 2 * out
+
+    seen = sorted(set().union(*(set().union(*v) for v in lists.values())))[::37]
+    for b in seen:
+        count = {d: sum(b in x for x in v) for d, v in lists.items()}
+        total = sum(count.values())
+        p = {d: min(max((count[d] + mixing.SMOOTHING * total / every) / (size[d] + mixing.SMOOTHING), 1e-5), 1 - 1e-5) for d in domains}
+        mean = math.exp(sum(map(math.log, p.values())) / len(p))
+        for k, d in enumerate(domains):
+            stat = g(count[d], size[d], total - count[d], every - size[d])
+            w = (stat / (stat + mixing.EVIDENCE)) ** 2
+            want = w * (math.log(p[d] / mean) - mixing.ABSENCE * math.log((1 - p[d]) / (1 - mean)))
+            assert m.odds[k][b] == pytest.approx(want, abs=1e-9)
+    rows = {r.doc_id: r for r in mixing.memberships(docs, m, ("doc_id",)).collect()}
+    for i, (_, buckets, _) in held.items():
+        z = [math.log(m.priors[k]) + m.base[k] + sum(m.odds[k][b] for b in buckets) for k in range(len(domains))]
+        e = [math.exp(max(x - max(z), -60)) for x in z]
+        assert sum(rows[i].p) == pytest.approx(1) and all(abs(a - b / sum(e)) <= 3 / mixing.GRID for a, b in zip(rows[i].p, e, strict=True))
+
+
 def test_mixing_edge_rows(spark):
     kind = "doc_id long, text string, rate string, p string"
     labels = spark.createDataFrame([(1, "good"), (1, "good"), (None, "low")], "doc_id long, domain string")
@@ -165,6 +226,10 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(df.limit(0), labels.limit(0), {"good": 1.0}).count() == 0
     assert mixing.resample(df.limit(0), labels.limit(0), {"good": 1.0}).columns == df.columns
     assert mixing.resample(df.where("doc_id = 2"), labels, {"good": 1.0}).count() == 1
+    clash = df.select("doc_id", "text", *(F.lit(1).alias(c) for c in ("__b", "__hb", "__H_n", "__z", "__copy", "a.b", "p")))
+    assert mixing.resample(clash, labels, {"good": 1.0}).columns == clash.columns
+    long = spark.createDataFrame([(1, "word, " * 200_000)], "doc_id long, text string")
+    assert mixing.mix(long, labels, {"good": 0.7, "low": 0.3}).first().n_tokens == 200_000
 
 
 @pytest.mark.parametrize("one_in", [1, 10])

@@ -220,10 +220,104 @@ def test_quality_rules(spark, sf, docs, none):
     assert all(r.kept for r in good) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
 
 
+def _plain_marks(text):
+    text = text or ""
+    words = [w for w in text.translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")).split(" ") if w]
+    pieces = [words[i : i + 10] for i in range(0, len(words) - 9, 10)]
+    ascii_ = [c for c in text if c < "\x7f"]
+    return sum(33 <= ord(c) and not c.isalnum() for c in ascii_), sum(c.isalpha() for c in ascii_), sum(c in "aeiouyAEIOUY" for c in ascii_), sum(len(set(p)) for p in pieces), 10 * len(pieces), text.count("\n") + 1
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b1", " ", "\n", "\x7f", "#", "é", "a b a B a", "."]), max_size=60).map("".join))
+def test_quality_marks(text):
+    assert quality.marks(text) == _plain_marks(text)
+
+
+def _plain_mcd(x, w, scale):
+    """The minimum covariance determinant of one group in plain NumPy: location, scatter and rows."""
+    n, p = x.shape
+    ridge, mid = quality.RIDGE * np.diag(np.square(scale)), np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+    off = (x - mid) * np.sqrt(w)[:, None]
+    s = np.sqrt((1.4826 * np.quantile(np.abs(off), 0.5, axis=0, method="inverted_cdf")) ** 2 + np.diag(ridge))
+    z = off / s
+    u = z / np.sqrt(np.maximum((z * z).sum(axis=1), 1e-12))[:, None]
+    factor = quality.SUBSET / quality.chi2_share(quality.chi2_quantile(quality.SUBSET, p), p + 2)
+
+    def step(loc, c):
+        d = w * np.einsum("ni,ij,nj->n", x - loc, np.linalg.inv(c), x - loc)
+        near = d <= np.quantile(d, quality.SUBSET, method="inverted_cdf")
+        loc = (w[near, None] * x[near]).sum(axis=0) / w[near].sum()
+        y = (x[near] - loc) * np.sqrt(w[near])[:, None]
+        return loc, factor * y.T @ y / near.sum() + ridge
+
+    ends = []
+    for c in (np.eye(p), np.tanh(z).T @ np.tanh(z) / n, u.T @ u / n * p):
+        fit = mid, c * np.outer(s, s) + ridge
+        for _ in range(quality.STEPS):
+            fit = step(*fit)
+        ends.append((np.linalg.slogdet(fit[1])[1], fit))
+    fit = min(ends, key=lambda e: e[0])[1]
+    for _ in range(quality.MORE_STEPS):
+        fit = step(*fit)
+    return *fit, n
+
+
+def _plain_verdicts(docs, scatter=None):
+    """Distances by the plain estimate, or by one constant scatter."""
+    got = {i: (np.array([_plain_counts(t)]), np.array([_plain_marks(t)])) for i, (t, _, _) in docs.items()}
+    rows = {i: quality.vectors(*v)[0] for i, v in got.items() if v[0][0, 0] >= 10 and 100 * v[0][0, 4] <= 20 * v[0][0, 0]}
+    scale = np.maximum(np.stack([r[1:] for r in rows.values()]).std(axis=0), 1e-6)
+    groups = {}
+    for i, v in rows.items():
+        for g in ((docs[i][1], docs[i][2]), (docs[i][1],), ()):
+            groups.setdefault(g, []).append(v)
+    fits = {g: _plain_mcd(np.stack(v)[:, 1:], np.stack(v)[:, 0], scale) for g, v in groups.items()}
+    lean = lambda a, b: tuple((a[2] * x + quality.PRIOR * y) / (a[2] + quality.PRIOR) for x, y in zip(a[:2], b[:2], strict=True))
+    out = {}
+    for i, v in rows.items():
+        _, lang, source = docs[i]
+        loc, c = lean(fits[lang, source], lean(fits[lang,], fits[()]))
+        d = v[1:] - loc
+        out[i] = v[0] * d @ np.linalg.inv(c if scatter is None else scatter) @ d
+    return out, scale
+
+
+def test_chi_square():
+    assert quality.chi2_share(2 * np.log(2), 2) == pytest.approx(0.5) and quality.chi2_quantile(0.95, 1) == pytest.approx(3.841, abs=1e-3)
+
+
+def test_verdicts_come_from_the_estimates(spark):
+    """Distances agree with a plain NumPy estimate; a constant scatter in its place gives other verdicts."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: (r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op9_quality_rules(spark, sf).collect()}
+    far, scale = _plain_verdicts(docs)
+    limit = quality.chi2_quantile(1 - quality.CHANCE, len(quality.FEATURES))
+    assert all(got[i].kept == (i in far and far[i] <= limit) for i in docs)
+    gap = np.array([abs(got[i].distance - d) / (d + 0.1) for i, d in far.items()])  # quantiles of the query are exact to a thousandth
+    assert np.median(gap) < 0.01 and gap.max() < 0.1, (np.median(gap), gap.max())
+    flat, _ = _plain_verdicts(docs, np.diag(np.square(scale)))
+    assert sum((d <= limit) != (far[i] <= limit) for i, d in flat.items()) > 20
+
+
+def test_a_group_of_its_own_has_its_own_estimate(spark):
+    """A source whose texts would be outliers among others keeps them, once it has many."""
+    rng = np.random.default_rng(3)
+    text = lambda word: " ".join("".join(rng.choice(list("aeiounrstl"), max(1, int(rng.normal(word, 1))))) + "." * (rng.random() < 0.1) for _ in range(120))
+    rows = [(i, text(5), "en", "a", 0) for i in range(400)] + [(1000 + i, text(12), "en", "b", 0) for i in range(400)] + [(2000, text(12), "en", "c", 0), (2001, text(12), None, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, distance int")
+    by = {r.doc_id: r for r in quality.judge(df, ("doc_id",)).collect()}
+    assert sum(not by[i].kept for i in range(400)) + sum(not by[1000 + i].kept for i in range(400)) < 8
+    alone = {r.doc_id: r for r in quality.judge(df.where("source <> 'b'"), ("doc_id",)).collect()}
+    assert not alone[2000].kept
+
+
 def test_estimate_resists_outliers(spark):
     rng = np.random.default_rng(1)
     clean, bad = rng.normal([1, 0, 0, 0], 0.1, (400, 4)), rng.normal([5, 2, 1, 1], 0.1, (100, 4))
-    rows = [("g", *map(float, v)) for v in (*clean, *bad)] + [("tiny", 1.0, 0.0, 0.0, 0.0)]
-    df = spark.createDataFrame(rows, "k string, a double, b double, c double, d double")
-    fit = {r.k: r for r in quality.estimates(df, ["k"], list("abcd")).collect()}
-    assert set(fit) == {"g"} and np.allclose(fit["g"]["loc"], [1, 0, 0, 0], atol=0.05)
+    rows = [("g", 1.0, *map(float, v)) for v in (*clean, *bad)] + [("tiny", 1.0, 1.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, w double, a double, b double, c double, d double")
+    fit = {r.g: r for r in quality.determinant_fits(df, list("abcd"), "w", [1.0] * 4).collect()}
+    assert np.allclose(fit["g"]["loc"], [1, 0, 0, 0], atol=0.05) and np.allclose(fit["tiny"]["loc"], [1, 0, 0, 0])
+    assert np.allclose(np.diag(np.array(fit["g"]["cov"]).reshape(4, 4)), 0.01 + quality.RIDGE, atol=0.01)

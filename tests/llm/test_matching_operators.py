@@ -115,18 +115,70 @@ def test_near_dedup(spark):
             groups.append({2 * i, 2 * i + 1})
     texts += [(900, texts[0][1]), (900, texts[0][1]), (901, texts[0][1].upper()), (None, texts[4][1]), (None, None), (902, ""), (903, "one two")]
     df = spark.createDataFrame([(i, t, "en", "s", 0, "k", 1) for i, t in texts], kind)
-    for rows in (3, 1000):
-        out = near_dedup.near_dedup(df, shard_rows=rows)
+    for rows, tiles in ((3, 2), (3, 100), (1000, 8)):
+        out = near_dedup.near_dedup(df, shard_rows=rows, most_tiles=tiles)
         ids = sorted(r.doc_id for r in out.collect())
         assert out.columns == df.columns and ids == sorted([*(2 * i for i in range(40)), 902, 903])
     twice = spark.createDataFrame([(1, "a b c", "en", "s", 0, "k", 1)] * 3, kind)
     assert near_dedup.near_dedup(twice).count() == 1 and near_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+    clash = df.where("doc_id < 4").select("doc_id", "text", *(F.lit(1).alias(c) for c in ("__fp", "__name", "__mins", "__hfp", "__H_n", "a.b", "k", "fp", "name")))
+    out = near_dedup.near_dedup(clash)
+    assert out.columns == clash.columns and sorted(r[0] for r in out.collect()) == [0, 2]
+    long = " ".join(_text(rng, 120_000))
+    assert [r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame([(2, long + " x"), (1, long)], "doc_id long, text string")).collect()] == [1]
+
+
 def test_radius_grows_as_similarity_falls():
     assert near_dedup.radius(1.0) == 0 < near_dedup.radius(0.9) < near_dedup.radius(0.8) < near_dedup.BITS // 4
 
 
+def _plain_shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def _plain_groups(sets):
+    """Groups of an exact join at similarity 0.8, through an index of all shingles."""
+    index = {}
+    for i, s in sets.items():
+        for g in s:
+            index.setdefault(g, []).append(i)
+    links = []
+    for i, s in sets.items():
+        shared = {}
+        for g in s:
+            for j in index[g]:
+                if j < i:
+                    shared[j] = shared.get(j, 0) + 1
+        links += [(i, j) for j, n in shared.items() if n >= 0.8 * (len(s) + len(sets[j]) - n)]
+    empty = [i for i, s in sets.items() if not s]
+    return links + list(zip(empty, empty[1:], strict=False))
+
+
+@pytest.mark.parametrize("shard_rows,tiles", [(1024, 8), (4, 2)])
+def test_near_dedup_against_an_exact_join(spark, shard_rows, tiles):
+    """On the tables, and on texts with similarities near 0.8 that share a passage: small shards and forced large ones."""
+    rng = random.Random(5)
+    passage, rows = _text(rng, 12), [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for i in range(60):
+        base = passage + _text(rng, 100)
+        rows.append((10**6 + 10 * i, " ".join(base)))
+        for c in range(1, 4):
+            near = list(base)
+            for at in rng.sample(range(12, 108), rng.randrange(1, 4)):
+                near[at] = f"c{c}x{at}"
+            rows.append((10**6 + 10 * i + c, " ".join(near)))
+    links = _plain_groups({i: _plain_shingles(t) for i, t in rows})
+    want = _roots({i for i, _ in rows}, links)
+    got = {r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shard_rows=shard_rows, most_tiles=tiles).select("doc_id").collect()}
+    kept = set(want.values())
+    gone = {i for i, _ in rows} - kept
+    assert kept <= got  # nothing goes that is no near duplicate
+    assert len(got - kept) <= 0.01 * len(gone), (len(got - kept), len(gone))
+
+
 def _plain_links(rows, cosine=0.98):
     ok = []
     for n, (_, e, label) in enumerate(rows):

@@ -1,18 +1,19 @@
 """Byte-level BPE by overlapping chunks.
 
-A long text is cut into overlapping chunks that are pre-tokenised in parallel.
-The pattern looks at nothing before a match, so once two chunks share a
-pre-token boundary they agree from there on; texts are stitched at such
-boundaries, and a stretch without one is pre-tokenised again from the last sure
-boundary.  The stitched pieces are then encoded by rank merges and decoded by
-concatenating each id's raw bytes.
+Every text is cut into overlapping chunks that are pre-tokenised on their own (a
+short text is one chunk).  The pattern looks at nothing before a match, so once
+two chunks share a pre-token boundary they agree from there on; chunks are
+stitched at such boundaries, and a stretch without one is pre-tokenised again
+from the last sure boundary.  The stitched pieces are then encoded by rank merges
+and decoded by concatenating each id's raw bytes.  Chunks of texts over ``SPREAD``
+characters are pre-tokenised by many tasks, those of others where the text is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,10 +22,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ensure_importable, materialize
+from ._util import ensure_importable, materialize, quoted
 
-#: Characters: texts over LONG are cut in chunks of CHUNK, which overlap by OVERLAP.
-LONG, CHUNK, OVERLAP = 65_536, 32_768, 1024
+#: Characters of a chunk, by which chunks overlap, and beyond which a text's chunks are dealt to other tasks.
+CHUNK, OVERLAP, SPREAD = 4096, 256, 65_536
 
 
 class Codec:
@@ -119,42 +120,60 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
-    def ends(self, chunk: str, last: bool) -> np.ndarray:
-        """Ends of the chunk's matches; a match that touches a cut is not sure and left out."""
-        out = [m.end() for m in self.pattern.finditer(chunk)]
-        if out and not last and out[-1] == len(chunk):
+    def sure(self, chunk: str, last: bool) -> list[str]:
+        """The chunk's pieces; one that touches a cut is not sure and left out."""
+        out = self.pattern.findall(chunk)
+        if not last and out:
             out.pop()
-        return np.array(out, dtype=np.int64)
+        return out
+
 
+def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str, bool]]:
+    """Start, text and whether it is the last of each chunk."""
+    starts = range(0, max(len(text) - overlap, 1), chunk - overlap)
+    return [(s, text[s : s + chunk], s == starts[-1]) for s in starts]
 
-def stitch(text: str, chunks: list[tuple[int, np.ndarray]], codec: Codec) -> tuple[list[str], int]:
-    """Pieces of ``text`` from each chunk's start and match ends, and how often no boundary was shared.
+
+def stitch(text: str, chunks: Iterable[tuple[int, list[str]]], codec: Codec) -> tuple[list[str], int]:
+    """Pieces of ``text`` from each chunk's start and sure pieces, and how often no boundary was shared.
 
     Exact for patterns without look-behind that match at every place.
     """
-    bounds, at, repaired = [0], 0, 0
-    for k, (start, ends) in enumerate(chunks):
-        sure = ends + start
-        if k:
-            known = {0, *bounds}
-            first = next((int(e) for e in sure if int(e) in known), None)
-            if first is None:
-                repaired += 1
-                inside = set(sure.tolist())
-                for m in codec.pattern.finditer(text, at):
-                    bounds.append(m.end())
-                    if m.end() in inside:
-                        break
-                at = first = bounds[-1]
-            else:
-                while bounds[-1] > first:
-                    bounds.pop()
-            sure = sure[sure > first]
-        bounds += sure.tolist()
-        at = bounds[-1]
+    out: list[str] = []
+    at = repaired = 0  # where the pieces so far end
+    for start, pieces in chunks:
+        end = start + sum(map(len, pieces))
+        if start == 0:
+            out, at = list(pieces), end
+            continue
+        known, i, p = {at: len(out)}, len(out), at
+        while i and p > start:
+            i -= 1
+            p -= len(out[i])
+            known[p] = i
+        p, k = start, 0
+        while p not in known and k < len(pieces) and p <= at:
+            p += len(pieces[k])
+            k += 1
+        if p in known:
+            out[known[p] :] = pieces[k:]
+            at = max(end, p)
+            continue
+        repaired += 1
+        places, p = {}, start
+        for k, x in enumerate(pieces):
+            p += len(x)
+            places[p] = k + 1
+        for m in codec.pattern.finditer(text, at):
+            out.append(m[0])
+            at = m.end()
+            if at in places:
+                out += pieces[places[at] :]
+                at = end
+                break
     if at < len(text):
-        bounds += [m.end() for m in codec.pattern.finditer(text, at)]
-    return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], repaired
+        out += codec.pattern.findall(text, at)
+    return out, repaired
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -167,24 +186,22 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def _digests(c: Codec, pieces: list[str]) -> tuple[int, str, str]:
-    ids = c.encode(pieces)
-    names = c.names
-    listed = hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest()
-    return len(ids), listed, hashlib.sha256(c.decode(ids)).hexdigest()
+def pieces_of(c: Codec, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    return stitch(text, ((start, c.sure(part, last)) for start, part, last in cut(text, chunk, overlap)), c)[0]
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = False, long: int = LONG, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", with_ids: bool = False, spread: int = SPREAD, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``keep`` and ``n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) of each row.
 
     The digests are of the decimal ids joined by a space and of the bytes that
     decoding those ids gives.  Null texts count as empty: no ids, the digests of
-    nothing.  Repeated rows each come back, an empty table gives no rows, other
-    columns are not read.
+    nothing.  Very long texts are encoded whole, repeated ones once.  Repeated rows
+    each come back, an empty table gives no rows, other columns are not read and
+    may have any name.
     """
     ensure_importable(docs.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    rows = docs.select(F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("t"), *(quoted(c).alias(n) for c, n in zip(keep, names, strict=True)))
     kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in names]
     results = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     columns = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] * with_ids)]
@@ -192,46 +209,57 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, keep: tuple[str
     def finish(c: Codec, texts: Iterator[list[str]]) -> list[pa.Array]:
         out: list[tuple] = []
         for pieces in texts:
-            row = _digests(c, pieces)
-            out.append((*row, np.array(c.encode(pieces), dtype=np.int32)) if with_ids else row)
-        kinds_ = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] * with_ids)]
-        return [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds_)]
+            ids, shown = c.encode(pieces), c.names
+            listed = hashlib.sha256(" ".join([shown[i] for i in ids]).encode()).hexdigest()
+            out.append((len(ids), listed, hashlib.sha256(c.decode(ids)).hexdigest(), *([np.array(ids, dtype=np.int32)] * with_ids)))
+        types = [pa.int64(), pa.string(), pa.string(), *([pa.list_(pa.int32())] * with_ids)]
+        return [pa.array([r[i] for r in out], k) for i, k in enumerate(types)]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], *finish(c, (c.pieces(t.as_py()) for t in b.column(0)))], [*names, *columns])
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], *finish(c, (pieces_of(c, t.as_py(), chunk, overlap) for t in b.column(0)))], [*names, *columns])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                parts = cut(t.as_py(), chunk, overlap)
+                for at in range(0, len(parts), 256):
+                    some = parts[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([h] * len(some), pa.string()), pa.array([p[0] for p in some], pa.int64()), pa.array([p[1] for p in some], pa.string()), pa.array([p[2] for p in some], pa.bool_())], ["h", "start", "part", "last"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         for b in batches:
-            ends = [c.ends(t.as_py(), last).tobytes() for t, last in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ends, pa.binary())], ["h", "start", "ends"])
+            sizes = [np.array(list(map(len, c.sure(t.as_py(), last))), dtype="<i4").tobytes() for t, last in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.binary())], ["h", "start", "sizes"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
 
+        def chunks(t: str, parts: list[dict]) -> Iterator[tuple[int, list[str]]]:
+            for p in sorted(parts, key=lambda p: p["start"]):
+                ends = p["start"] + np.cumsum(np.frombuffer(p["sizes"], dtype="<i4"))
+                bounds = [p["start"], *ends.tolist()]
+                yield p["start"], [t[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
         def texts(b: pa.RecordBatch) -> Iterator[list[str]]:
             for t, parts in zip(b.column(1), b.column(2), strict=True):
-                found = sorted(((p["start"], np.frombuffer(p["ends"], dtype=np.int64)) for p in parts.as_py()), key=lambda p: p[0])
-                yield stitch(t.as_py(), found, c)[0]
+                text = t.as_py()
+                yield stitch(text, chunks(text, parts.as_py()), c)[0]
 
         for big in batches:
             for at in range(0, big.num_rows, 64):
                 b = big.slice(at, 64)
                 yield pa.RecordBatch.from_arrays([b.column(0), *finish(c, texts(b))], ["h", *columns])
 
-    short = rows.where(F.length("t") <= long).mapInArrow(whole, ", ".join([*kinds, results]))
-    large = materialize(rows.where(F.length("t") > long).withColumn("h", F.sha2("t", 256)), "bpe-long")
+    near = rows.where(F.length("t") <= spread).mapInArrow(whole, ", ".join([*kinds, results]))
+    large = materialize(rows.where(F.length("t") > spread).withColumn("h", F.sha2("t", 256)), "bpe-long")
     texts = large.select("h", "t").dropDuplicates(["h"])
-    starts = F.explode(F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk - overlap))).alias("start")
-    cuts = texts.select("h", starts, "t").select("h", "start", F.col("t").substr(F.col("start") + 1, F.lit(chunk)).alias("part"), (F.col("start") + chunk >= F.length("t")).alias("last"))
-    ends = cuts.repartition("h", "start").mapInArrow(cut, "h string, start int, ends binary")
-    parts = ends.groupBy("h").agg(F.collect_list(F.struct("start", "ends")).alias("parts"))  # of one text only
-    stitched = materialize(texts.join(parts, "h").select("h", "t", "parts").mapInArrow(join, "h string, " + results), "bpe-stitched")
+    parts = texts.mapInArrow(deal, "h string, start long, part string, last boolean").repartition("h", "start")
+    sizes = parts.mapInArrow(split, "h string, start long, sizes binary").groupBy("h").agg(F.collect_list(F.struct("start", "sizes")).alias("parts"))  # of one text only
+    stitched = materialize(texts.join(sizes, "h").select("h", "t", "parts").mapInArrow(join, "h string, " + results), "bpe-stitched")
     done = large.drop("t").join(stitched, "h").select(*names, *columns)
-    return short.union(done).select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *columns)
-
-
+    return near.union(done).select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), *columns)

@@ -76,13 +76,13 @@ def _tiktoken():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("long,chunk,overlap", [(65_536, 32_768, 1024), (20, 64, 16)])
-def test_byte_bpe(docs, none, long, chunk, overlap):
+@pytest.mark.parametrize("spread,chunk,overlap", [(65_536, 4096, 256), (20, 64, 16), (10**9, 64, 16)])
+def test_byte_bpe(docs, none, spread, chunk, overlap):
     t, want = _tiktoken(), []
     for i, x, *_ in ROWS:
         ids = t.encode_ordinary(x or "")
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()))
-    run = lambda d: byte_bpe.encode_texts(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, long=long, chunk=chunk, overlap=overlap)
+    run = lambda d: byte_bpe.encode_texts(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, spread=spread, chunk=chunk, overlap=overlap)
     assert sorted(map(tuple, run(docs).collect()), key=repr) == sorted(want, key=repr)
     assert run(none).count() == 0
 
@@ -92,8 +92,9 @@ def test_byte_bpe(docs, none, long, chunk, overlap):
 def test_stitched_chunks(text, sizes):
     c = byte_bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     size, overlap = sizes
-    chunks = [(s, c.ends(text[s : s + size], s + size >= len(text))) for s in range(0, len(text), size - overlap)]
-    assert byte_bpe.stitch(text, chunks, c)[0] == c.pieces(text)
+    parts = byte_bpe.cut(text, size, overlap)
+    assert parts[-1][2] and all(text[s : s + len(p)] == p for s, p, _ in parts) and parts[-1][0] + len(parts[-1][1]) == len(text)
+    assert byte_bpe.stitch(text, [(s, c.sure(p, last)) for s, p, last in parts], c)[0] == c.pieces(text)
 
 
 @settings(max_examples=100, deadline=None)

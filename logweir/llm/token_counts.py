@@ -1,23 +1,25 @@
 """Unigram token counts with dynamic programming shared along a trie.
 
-Distinct pre-tokens are visited in sorted order, which walks their trie depth
-first: the forward scores of the current path are held, so each shared prefix
-is computed once.  A terminal node stores its count of tokens, and a document's
+Distinct pre-tokens are inserted in a trie that lives as long as its worker.  A
+node holds the forward score of its prefix, so each prefix is scored once however
+many pre-tokens share it, and a terminal node its pre-token's count.  A document's
 count is the sum over its pre-tokens.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ensure_importable
+from ._util import ensure_importable, quoted
 
 MARK = "▁"  # stands before each pre-token in sentencepiece vocabularies
-MEMO = 300_000
+#: Nodes at which a worker's trie begins anew, which bounds its memory and changes no result.
+NODES = 1_000_000
 
 
 class UnigramTrie:
@@ -27,76 +29,88 @@ class UnigramTrie:
     each with the score ``unknown``.  Equal scores go to fewer tokens.
     """
 
-    def __init__(self, scores: dict[str, float], unknown: float | None = None):
+    def __init__(self, scores: dict[str, float], unknown: float | None = None, nodes: int = NODES):
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.unknown = unknown if unknown is not None else min(scores.values(), default=0.0) - 10.0
+        self.nodes = nodes
         self.computed = 0  # forward scores computed so far
-        self.new: dict[str, tuple[int, float]] = {}
-        self.old: dict[str, tuple[int, float]] = {}
-
-    def extend(self, word: str, path: list[tuple[float, int]], shared: int) -> None:
-        """Forward ``(score, -tokens)`` of each prefix of ``word`` beyond the ``shared`` first characters."""
-        del path[shared + 1 :]
-        scores, longest = self.scores, self.longest
-        for end in range(shared + 1, len(word) + 1):
-            width = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            s, t = path[end - 1]
-            best = None
-            for start in range(max(0, end - longest), end):
-                v = scores.get(word[start:end])
-                if v is not None:
-                    s0, t0 = path[start]
-                    if best is None or (s0 + v, t0 - 1) > best:
-                        best = (s0 + v, t0 - 1)
-            if word[end - 1] not in scores:
-                other = (s + width * self.unknown, t - width)
-                if best is None or other > best:
-                    best = other
-            path.append(best)
-            self.computed += 1
-
-    def insert(self, words: Iterable[str]) -> dict[str, tuple[int, float]]:
-        """Terminal ``(tokens, score)`` of each pre-token."""
-        path, before, out = [(0.0, 0)], "", {}
-        for w in sorted(words):
-            shared, most = 0, min(len(before), len(w))
-            while shared < most and before[shared] == w[shared]:
-                shared += 1
-            self.extend(w, path, shared)
-            score, tokens = path[-1]
-            out[w] = (-tokens, score)
-            before = w
-        return out
+        self.clear()
+
+    def clear(self) -> None:
+        """The root alone: its child by node and letter, forward score and tokens of each node, terminal counts by pre-token."""
+        self.child: dict[tuple[int, str], int] = {}
+        self.score, self.tokens = [0.0], [0]
+        self.ends: dict[str, tuple[int, float]] = {}
+
+    def _forward(self, word: str, path: list[int]) -> tuple[float, int]:
+        """Best score, and tokens, of the prefix of ``word`` one longer than those of the nodes on ``path``."""
+        end, letter = len(path), word[len(path) - 1]
+        scores, best = self.scores, None
+        for start in range(max(0, end - self.longest), end):
+            v = scores.get(word[start:end])
+            if v is not None:
+                s, t = self.score[path[start]] + v, self.tokens[path[start]] + 1
+                if best is None or s > best[0] or (s == best[0] and t < best[1]):
+                    best = s, t
+        if letter not in scores:
+            width = len(letter.encode("utf-8", "surrogatepass"))
+            s, t = self.score[path[-1]] + width * self.unknown, self.tokens[path[-1]] + width
+            if best is None or s > best[0] or (s == best[0] and t < best[1]):
+                best = s, t
+        self.computed += 1
+        return best
+
+    def insert(self, word: str) -> tuple[int, float]:
+        """Terminal ``(tokens, score)`` of a pre-token; only nodes that are new are scored."""
+        child, path = self.child, [0]
+        for letter in word:
+            node = child.get((path[-1], letter))
+            if node is None:
+                node = len(self.score)
+                s, t = self._forward(word, path)
+                child[path[-1], letter] = node
+                self.score.append(s)
+                self.tokens.append(t)
+            path.append(node)
+        return self.tokens[path[-1]], self.score[path[-1]]
 
     def count(self, texts: list[str]) -> list[tuple[int, int, float]]:
         """``(pre-tokens, tokens, score)`` of each text."""
-        split = [[w.decode() for w in t.encode().split()] for t in texts]
-        new, old = self.new, self.old
-        missing = {w for ws in split for w in ws if w not in new}
-        if len(new) + len(missing) > MEMO:
-            self.old, self.new = new, {}
-            new, old = self.new, self.old
-            missing = {w for ws in split for w in ws}
-        known = [w for w in missing if w in old]
-        for w in known:
-            new[w] = old[w]
-        for w, found in self.insert({MARK + w for w in missing.difference(known)}).items():
-            new[w[len(MARK) :]] = found
-        out = []
-        for ws in split:
-            got = [new[w] for w in ws]
-            out.append((len(ws), sum([g[0] for g in got]), float(sum([g[1] for g in got]))))
+        out, ends = [], self.ends
+        for text in texts:
+            words = text.encode("utf-8", "surrogatepass").split()
+            for w in {w for w in words if w not in ends}:
+                if len(self.score) > self.nodes:
+                    self.clear()
+                    ends = self.ends
+                ends[w] = self.insert(MARK + w.decode("utf-8", "surrogatepass"))
+            try:
+                got = [ends[w] for w in words]
+            except KeyError:  # the trie began anew within this text
+                got = [ends.get(w) or self.insert(MARK + w.decode("utf-8", "surrogatepass")) for w in words]
+            out.append((len(words), sum([g[0] for g in got]), float(sum([g[1] for g in got]))))
         return out
 
 
+def rank_scores(pieces: Iterable[str]) -> dict[str, float]:
+    """Log probabilities of pieces from the most frequent on, by Zipf's law: in proportion to ``1 / rank``, and one in all."""
+    listed = list(pieces)
+    total = math.log(sum(1 / (r + 1) for r in range(len(listed)))) if listed else 0.0
+    return {p: -math.log(r + 1) - total for r, p in enumerate(listed)}
+
+
 def piece_scores(model_path: str) -> dict[str, float]:
-    """Ordinary pieces of a sentencepiece model with their scores."""
+    """A unigram model of the ordinary pieces of a sentencepiece model.
+
+    The scores of a merge model are places in the order of merges and no
+    probabilities, so only that order counts, the first id of equal ones first.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    plain = (i for i in range(p.get_piece_size()) if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i)))
-    return {p.id_to_piece(i): p.get_score(i) for i in plain}
+    plain = [i for i in range(p.get_piece_size()) if not (p.is_unknown(i) or p.is_control(i) or p.is_byte(i) or p.is_unused(i))]
+    return rank_scores(p.id_to_piece(i) for i in sorted(plain, key=lambda i: (-p.get_score(i), i)))
 
 
 _tries: dict[str, UnigramTrie] = {}
@@ -112,14 +126,15 @@ def trie(model_path: str) -> UnigramTrie:
 def token_counts(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``keep`` and ``n_pretokens, n_tokens, score`` for each row.
 
-    Null and empty texts have no tokens and score 0; repeated rows each come
-    back; an empty table gives no rows; other columns are not read.  Nothing is
-    shuffled: the terminal counts are remembered per worker, and their number
-    is bounded without any effect on results.
+    Null and empty texts have no tokens and score 0; very long texts are counted
+    whole; segmentations of equal score go to fewer tokens; repeated rows each come
+    back; an empty table gives no rows; other columns are not read and may have any
+    name.  Nothing is shuffled: each worker has its trie, whose size is bounded
+    without any effect on results.
     """
     ensure_importable(docs.sparkSession)
     names = [f"k{i}" for i in range(len(keep))]
-    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    rows = docs.select(F.coalesce(quoted(text_col).cast("string"), F.lit("")).alias("t"), *(quoted(c).alias(n) for c, n in zip(keep, names, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = trie(model_path)

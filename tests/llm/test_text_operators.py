@@ -136,8 +136,20 @@ def test_token_counts(docs, none):
         assert g[:3] == w[:3] and g[3] == pytest.approx(w[3])
     assert token_counts.token_counts(none, path).count() == 0
     shared = token_counts.UnigramTrie({"a": -1.0, "ab": -1.5, "b": -1.0})
-    shared.insert({"abab", "ababb", "abb"})
-    assert shared.computed == 6  # abab, then b; abb shares ab
+    assert [shared.insert(w) for w in ("ababb", "abab", "abb", "abab")] == [(3, -4.0), (2, -3.0), (2, -2.5), (2, -3.0)]
+    assert shared.computed == 6  # ababb, then abb beyond ab; abab is on the way
+    assert sum(map(np.exp, t.scores.values())) == pytest.approx(1)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "é", "日", " ", "aba"]), max_size=12).map("".join), min_size=1, max_size=12), st.sampled_from([5, 10**6]))
+def test_token_counts_in_any_order_and_with_any_bound(texts, nodes):
+    """Several slices share one trie, which may begin anew at any place."""
+    scores = token_counts.rank_scores(["▁", "a", "ab", "▁a", "b", "ba"])
+    t = token_counts.UnigramTrie(scores, nodes=nodes)
+    for x, (n, tokens, score) in zip(texts * 2, t.count(texts) + t.count(texts), strict=True):
+        each = [_plain_unigram(t.scores, t.longest, t.unknown, "▁" + w) for w in x.split()]
+        assert (n, tokens) == (len(each), sum(e[0] for e in each)) and score == pytest.approx(sum(e[1] for e in each))
 
 
 def _plain_grams(text):

@@ -68,6 +68,11 @@ def request_error(key: Column, headers: Column) -> Column:
     return F.when(F.octet_length(key) > MOST_U16, "partition key too long").when(F.size(headers) > MOST_U16, "too many headers").when(long, "header key too long")
 
 
+def group_error(group: Column) -> Column:
+    """Why an ack or checkpoint of a consumer group is refused: its name takes the place of the key; null for a sound one."""
+    return F.when(F.octet_length(F.encode(group, "UTF-8")) > MOST_U16, "consumer group name too long")
+
+
 def clamp_duration(us: Column) -> Column:
     return F.greatest(us, F.lit(0).cast("long"))
 

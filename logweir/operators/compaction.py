@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.folds import scan
 from ..schema import CHECKPOINT_INTERVAL_US, GROUP, SHARD
 
 
@@ -19,20 +20,17 @@ def merge_groups(segments: DataFrame, most_bytes: int | None) -> DataFrame:
     The sum restarts with each group, so this is a fold over a shard's segment
     catalogue (rows are files, not messages).  Without a limit all share group 0.
     """
-    listed = F.array_sort(F.collect_list(F.struct("min_offset", "max_offset", "bytes")))
-    row = "array<struct<min_offset:bigint,max_offset:bigint,bytes:bigint,merge_group:int>>"
-    limit = F.lit(most_bytes).cast("long")
+    row, limit = "struct<min_offset:bigint,max_offset:bigint,bytes:bigint,merge_group:int>", F.lit(most_bytes).cast("long")
 
-    def step(state: Column, s: Column) -> Column:
-        full = F.coalesce((F.size(state["out"]) > 0) & (state["held"] + s["bytes"] > limit), F.lit(False))
+    def step(state: Column, s: Column) -> tuple[dict[str, Column], Column]:
+        full = F.coalesce((state["members"] > 0) & (state["held"] + s["bytes"] > limit), F.lit(False))
         group = state["group"] + full.cast("int")
-        held = F.when(full, s["bytes"]).otherwise(state["held"] + s["bytes"])
-        item = F.struct(s["min_offset"].alias("min_offset"), s["max_offset"].alias("max_offset"), s["bytes"].alias("bytes"), group.alias("merge_group"))
-        return F.struct(group.alias("group"), held.alias("held"), F.concat(state["out"], F.array(item)).alias("out"))
+        after = {"group": group, "held": F.when(full, s["bytes"]).otherwise(state["held"] + s["bytes"]), "members": F.lit(1)}
+        return after, F.struct(s["min_offset"].alias("min_offset"), s["max_offset"].alias("max_offset"), s["bytes"].alias("bytes"), group.alias("merge_group"))
 
-    init = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("held"), F.array().cast(row).alias("out"))
-    folded = segments.groupBy(*SHARD).agg(listed.alias("s")).select(*SHARD, F.inline(F.aggregate("s", init, step)["out"]))
-    return folded
+    start = {"group": F.lit(0), "held": F.lit(0).cast("long"), "members": F.lit(0)}
+    listed = segments.groupBy(*SHARD).agg(F.array_sort(F.collect_list(F.struct("min_offset", "max_offset", "bytes"))).alias("s"))  # files, not messages
+    return listed.select(*SHARD, F.inline(scan(F.col("s"), start, step, row)))
 
 
 def first_plan(groups: DataFrame) -> DataFrame:
@@ -66,16 +64,16 @@ def checkpoint_due(progress: DataFrame, interval_us: int | None = None, count: i
     Only without both limits the default interval holds.
     """
     effective = interval_us if interval_us is not None else (CHECKPOINT_INTERVAL_US if count is None else None)
-    events = F.array_sort(F.collect_list(F.struct("seq", F.unix_micros("at").alias("us"), "low_watermark")))
-    row = "array<struct<seq:bigint,low_watermark:bigint,due:boolean>>"
+    row = "struct<seq:bigint,low_watermark:bigint,due:boolean>"
 
-    def step(state: Column, e: Column) -> Column:
+    def step(state: Column, e: Column) -> tuple[dict[str, Column], Column]:
         gained = e["low_watermark"] - state["mark"]
         by_count = F.lit(False) if count is None else gained >= count
         by_time = F.lit(False) if effective is None else F.coalesce(e["us"] - state["us"] >= effective, F.lit(True))
         due = (gained > 0) & (by_count | by_time)
-        item = F.struct(e["seq"].alias("seq"), e["low_watermark"].alias("low_watermark"), due.alias("due"))
-        return F.struct(F.when(due, e["low_watermark"]).otherwise(state["mark"]).alias("mark"), F.when(due, e["us"]).otherwise(state["us"]).alias("us"), F.concat(state["out"], F.array(item)).alias("out"))
+        after = {"mark": F.when(due, e["low_watermark"]).otherwise(state["mark"]), "us": F.when(due, e["us"]).otherwise(state["us"])}
+        return after, F.struct(e["seq"].alias("seq"), e["low_watermark"].alias("low_watermark"), due.alias("due"))
 
-    init = F.struct(F.lit(0).cast("long").alias("mark"), F.lit(None).cast("long").alias("us"), F.array().cast(row).alias("out"))
-    return progress.groupBy(*GROUP).agg(events.alias("e")).select(*GROUP, F.inline(F.aggregate("e", init, step)["out"]))
+    start = {"mark": F.lit(0).cast("long"), "us": F.lit(None).cast("long")}
+    listed = progress.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("seq", F.unix_micros("at").alias("us"), "low_watermark"))).alias("e"))
+    return listed.select(*GROUP, F.inline(scan(F.col("e"), start, step, row)))

@@ -19,19 +19,29 @@ def assign_offsets(rows: DataFrame, arrival: str, keys: list[str] | None = None,
     Arrivals are cut into buckets: rows are numbered inside a shard's bucket and
     start at the count of the shard's earlier buckets, so that a shard that
     holds most rows is numbered by many tasks.  ``base(keys, next_offset)``
-    gives where each shard goes on; shards without one start at 0.
+    gives where each shard goes on; shards without one start at 0.  Rows without
+    an arrival come last in their shard, in no fixed order; null keys are a shard.
     """
     keys = keys or SHARD
     ends = rows.agg(F.min(arrival).alias("lo"), F.max(arrival).alias("hi")).first()
     lo, width = (ends["lo"] or 0), max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // buckets + 1)
-    cut = rows.withColumn("__bucket", ((F.col(arrival) - F.lit(lo)) / F.lit(width)).cast("int"))
+    cut = rows.withColumn("__bucket", F.coalesce(((F.col(arrival) - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(buckets + 1)))
     counts = cut.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select(*keys, "__bucket", (F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket")) - F.col("__n")).alias("__before"))
     if base is not None:
-        before = before.join(base, keys, "left").withColumn("__before", F.col("__before") + F.coalesce("next_offset", F.lit(0))).drop("next_offset")
+        held = base.select(*(F.col(k).alias(f"__b{i}") for i, k in enumerate(keys)), "next_offset")
+        before = before.join(held, _alike([F.col(k) for k in keys], "__b"), "left").withColumn("__before", F.col("__before") + F.coalesce("next_offset", F.lit(0))).select(*keys, "__bucket", "__before")
     inside = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(arrival)) - 1
-    out = cut.withColumn("__inside", inside).join(before, [*keys, "__bucket"])
-    return out.withColumn("offset", F.col("__before") + F.col("__inside")).drop("__bucket", "__before", "__inside")
+    starts = before.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__bucket").alias("__at"), "__before")
+    out = cut.withColumn("__inside", inside).join(starts, _alike([F.col(k) for k in keys], "__k") & (F.col("__bucket") == F.col("__at")))
+    return out.select(*rows.columns, (F.col("__before") + F.col("__inside")).alias("offset"))
+
+
+def _alike(keys: list[Column], other: str) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & k.eqNullSafe(F.col(f"{other}{i}"))
+    return out
 
 
 def point_lookup(messages: DataFrame, offset: int | Column) -> DataFrame:
@@ -61,8 +71,9 @@ def to_log_entry(wal: DataFrame) -> DataFrame:
 
 
 def replay_dedup(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first delivery of each keyed offset: redelivered rows go."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__r") == 1).drop("__r")
+    """The first delivery of each keyed offset: redelivered rows go; those without an order count as last."""
+    first = F.min_by(F.struct(*rows.columns), F.struct(F.col(order).isNull(), F.col(order)))  # combined where the rows are
+    return rows.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(first.alias("__first")).select("__first.*")
 
 
 def beyond_applied(rows: DataFrame, state: DataFrame) -> DataFrame:

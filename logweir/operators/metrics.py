@@ -10,8 +10,8 @@ from .acks import slowest_mandatory
 
 
 def queue_depth(state: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Messages beyond each group's committed watermark."""
-    return state.join(bounds, SHARD).select(*GROUP, (F.col("next_offset") - F.col("committed_watermark")).alias("depth"))
+    """Messages beyond each group's committed watermark; shards without a message end at 0."""
+    return state.join(bounds, SHARD, "left").select(*GROUP, (F.coalesce("next_offset", F.lit(0).cast("long")) - F.col("committed_watermark")).alias("depth"))
 
 
 def oldest_unacked_age(state: DataFrame, messages: DataFrame, now: Column) -> DataFrame:

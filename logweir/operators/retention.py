@@ -25,17 +25,17 @@ def retention_stops(messages: DataFrame, gates: DataFrame, now: Column, max_us:
     ``watermark`` that is too young, or that cannot be forwarded (``forwarding`` false).
 
     Also the walk's start ``safe`` and the log's end, so that callers need no second scan.
+    Every shard of ``gates`` has a row; one without a message from ``safe`` on has neither stop nor end.
     """
     blocked = ~F.col("expired") if forwarding is None else (~F.col("expired") | ~forwarding)
     rows = past_retention(messages, now, max_us).join(gates, SHARD)
     seen = rows.where(F.col("offset") >= F.col("safe"))
-    return seen.groupBy(*SHARD, "watermark", "safe").agg(
-        F.min(F.when((F.col("offset") >= F.col("watermark")) & blocked, F.col("offset"))).alias("stop"), (F.max("offset") + 1).alias("end")
-    )
+    stops = seen.groupBy(*SHARD).agg(F.min(F.when((F.col("offset") >= F.col("watermark")) & blocked, F.col("offset"))).alias("stop"), (F.max("offset") + 1).alias("end"))
+    return gates.select(*SHARD, "watermark", "safe").join(stops, SHARD, "left")
 
 
 def safe_to_prune(stops: DataFrame) -> DataFrame:
-    return stops.select(*SHARD, F.coalesce("stop", "end").alias("safe_to_prune"))
+    return stops.select(*SHARD, F.coalesce("stop", "end", "safe").alias("safe_to_prune"))
 
 
 def dead_letters(messages: DataFrame, stops: DataFrame, streams: DataFrame | None = None) -> DataFrame:

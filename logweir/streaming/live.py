@@ -88,34 +88,56 @@ def consume_stream(spark: SparkSession, path: str, state: Callable[[], DataFrame
 
 
 class CheckpointProcessor(StatefulProcessor):
-    """Proposes a group's watermark when enough offsets or time went by since the last proposal."""
+    """Proposes a group's watermark when enough offsets or time went by since the last proposal.
 
-    def __init__(self, interval_us: int | None = None, count: int | None = None):
+    With ``ticking`` a group that falls silent reaches its interval, too: a timer
+    proposes the newest watermark once the interval has passed.
+    """
+
+    def __init__(self, interval_us: int | None = None, count: int | None = None, ticking: bool = False):
         self.interval = interval_us if interval_us is not None else (CHECKPOINT_INTERVAL_US if count is None else None)
-        self.count = count
+        self.count, self.ticking = count, ticking and self.interval is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "mark long, at long")
+        self.seen = handle.getValueState("seen", "mark long, at long")
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*GROUP, "watermark", "at_us"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         mark, at = self.last.get() if self.last.exists() else (0, None)
-        out = []
+        out, newest = [], self.seen.get() if self.seen.exists() else (0, 0)
         for e in pd.concat(list(rows)).sort_values("at_us").itertuples():
             gained = int(e.low_watermark) - mark
+            newest = max(newest, (int(e.low_watermark), int(e.at_us)))
             due = gained > 0 and ((self.count is not None and gained >= self.count) or (self.interval is not None and (at is None or int(e.at_us) - at >= self.interval)))
             if due:
                 mark, at = int(e.low_watermark), int(e.at_us)
                 out.append((*key, mark, at))
         if out:
             self.last.update((mark, at))
-        yield pd.DataFrame(out, columns=[*GROUP, "watermark", "at_us"])
+        self.seen.update(newest)
+        if self.ticking and newest[0] > mark:
+            self.handle.registerTimer(timers.getCurrentProcessingTimeInMs() + max(1, self.interval // 1000))
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, at = self.last.get() if self.last.exists() else (0, None)
+        newest, now = self.seen.get()[0] if self.seen.exists() else 0, expiredTimerInfo.getExpiryTimeInMs() * 1000
+        due = newest > mark and (at is None or now - at >= self.interval)
+        if due:
+            self.last.update((newest, now))
+        yield self._frame([(*key, newest, now)] if due else [])
 
     def close(self) -> None:
         pass
 
 
-def checkpoint_stream(progress: DataFrame, interval_us: int | None = None, count: int | None = None) -> DataFrame:
-    """Checkpoint proposals from a stream of ``(group, low_watermark, at_us)``."""
+def checkpoint_stream(progress: DataFrame, interval_us: int | None = None, count: int | None = None, ticking: bool = False) -> DataFrame:
+    """Checkpoint proposals from a stream of ``(group, low_watermark, at_us)``; ``ticking`` ones by the processing time, too."""
     schema = "stream string, vshard int, consumer_group string, watermark long, at_us long"
     ensure_importable(progress.sparkSession)
-    return progress.groupBy(*GROUP).transformWithStateInPandas(statefulProcessor=CheckpointProcessor(interval_us, count), outputStructType=schema, outputMode="Append", timeMode="None")
+    processor = CheckpointProcessor(interval_us, count, ticking)
+    return progress.groupBy(*GROUP).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if processor.ticking else "None")

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from ._util import WORD_SPACE, hidden, materialize, quoted
 
 #: Hash buckets of features; expected labelled documents learned from; likelihood-ratio statistic
-#: at which a bucket's log odds get a quarter of their weight (chance alone has a mean of 1).
-BUCKETS, TRAIN_DOCS, EVIDENCE = 65_536, 8000, 30.0
+#: at which a bucket's log odds get half of their weight to the power POWER (chance alone has a mean of 1).
+BUCKETS, TRAIN_DOCS, EVIDENCE, POWER = 65_536, 8000, 10.0, 4
 #: Weight of the absence of a bucket: most absences go together, as those of all marks of junk do.
-ABSENCE = 0.1
+ABSENCE = 0.3
 #: Document frequency of the whole sample that smooths each domain's own, in documents.
 SMOOTHING = 5.0
 STEPS, TOLERANCE = 25, 1e-4
@@ -79,22 +79,24 @@ def _total(model: Column, buckets: Column) -> Column:
 class DomainModel:
     """Priors, and per bucket and domain the evidence of its presence against the mean of all domains.
 
-    ``base`` is the evidence of a document that has none of the buckets.
+    ``base`` is the evidence of a document that has none of the buckets, ``length``
+    the mean characters of those learned from.  Longer texts have more buckets of
+    every kind, so their evidence counts in proportion to ``length``.
     """
 
-    def __init__(self, domains: list[str], priors: list[float], base: list[float], odds: list[list[float]]):
-        self.domains, self.priors, self.base, self.odds = domains, priors, base, odds
+    def __init__(self, domains: list[str], priors: list[float], base: list[float], odds: list[list[float]], length: float = math.inf):
+        self.domains, self.priors, self.base, self.odds, self.length = domains, priors, base, odds, length
 
-    def logits(self, held: Column) -> Column:
-        """The logits over ``domains`` from a text's distinct buckets, less that of the last.
+    def logits(self, held: Column, text: Column) -> Column:
+        """The logits over ``domains`` from a text and its distinct buckets, less that of the last.
 
         Only differences count in a posterior, so one sum is spared.
         """
-        start = [math.log(p) + b for p, b in zip(self.priors, self.base, strict=True)]
+        scale = F.least(F.lit(1.0), F.lit(self.length) / F.greatest(F.coalesce(F.length(text.cast("string")), F.lit(0)), F.lit(1)))
         logits = []
-        for at, odds in zip(start[:-1], self.odds[:-1], strict=True):
+        for prior, base, odds in zip(self.priors[:-1], self.base[:-1], self.odds[:-1], strict=True):
             model = F.from_json(F.lit(json.dumps([round(x - y, 5) for x, y in zip(odds, self.odds[-1], strict=True)])), "array<double>")
-            logits.append(F.lit(at - start[-1]) + _total(model, held))
+            logits.append(F.lit(math.log(prior / self.priors[-1])) + scale * (F.lit(base - self.base[-1]) + _total(model, held)))
         return F.array(*logits, F.lit(0.0))
 
 
@@ -124,12 +126,12 @@ def likelihood_ratio(n: np.ndarray, held: np.ndarray) -> np.ndarray:
     return 2 * (have + lack).sum(axis=0)
 
 
-def domain_model(domains: list[str], n: np.ndarray, held: np.ndarray) -> DomainModel:
+def domain_model(domains: list[str], n: np.ndarray, held: np.ndarray, length: float = math.inf) -> DomainModel:
     """The model of document frequencies ``n`` (domains x buckets) among ``held`` documents a domain.
 
     A bucket's evidence for a domain is the log of its frequency there over the
     geometric mean of all domains, shrunken by how surely the domain differs from the others
-    together: by ``(G / (G + EVIDENCE)) ** 2`` of the likelihood-ratio statistic,
+    together: by ``(G / (G + EVIDENCE)) ** POWER`` of the likelihood-ratio statistic,
     as the many rare words would drown the others in noise.  All domains are
     treated alike, so their order and names do not matter.
     """
@@ -138,9 +140,9 @@ def domain_model(domains: list[str], n: np.ndarray, held: np.ndarray) -> DomainM
     p = np.clip((n + SMOOTHING * pooled) / (held[:, None] + SMOOTHING), 1e-5, 1 - 1e-5)
     mean = np.exp(np.log(p).mean(axis=0))
     g = np.stack([likelihood_ratio(np.stack([n[k], n.sum(axis=0) - n[k]]), np.array([held[k], held.sum() - held[k]])) for k in range(len(domains))])
-    weight = (g / (g + EVIDENCE)) ** 2
+    weight = (g / (g + EVIDENCE)) ** POWER
     present, absent = np.log(p / mean) * weight, ABSENCE * np.log((1 - p) / (1 - mean)) * weight
-    return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present - absent).tolist())
+    return DomainModel(domains, prior.tolist(), absent.sum(axis=1).tolist(), (present - absent).tolist(), length)
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DomainModel:
@@ -159,19 +161,20 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_c
     rows = texts.join(F.broadcast(sample), "id")
     present = with_features(rows, "t", "n_", "held").select("domain", F.explode_outer("held").alias("b")).where("b IS NOT NULL")  # explode has its input computed once more, in a filter
     counted = {(r["domain"], r["b"]): r["n"] for r in present.groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
-    sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held = np.array([sizes.get(d, 0) for d in domains], dtype=float)
+    sizes = {r["domain"]: (r["n"], r["chars"]) for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("t")).alias("chars")).collect()}
+    held = np.array([sizes.get(d, (0, 0))[0] for d in domains], dtype=float)
+    length = max(1.0, sum(c for _, c in sizes.values()) / max(1.0, held.sum()))
     n = np.zeros((len(domains), BUCKETS))
     for (d, b), k in counted.items():
         n[domains.index(d), b] = k
-    return domain_model(domains, n, held)
+    return domain_model(domains, n, held, length)
 
 
 def memberships(docs: DataFrame, model: DomainModel, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """``keep``, ``n_tokens`` (words) and ``p`` (posteriors over the model's domains) of each row."""
     slots = [f"__m{i}" for i in range(len(keep))]
     rows = docs.select(*(quoted(c).alias(s) for c, s in zip(keep, slots, strict=True)), quoted(text_col).alias("__t"))
-    rows = with_features(rows, "__t", "__n", "__b").select(*slots, "__n", model.logits(F.col("__b")).alias("__z"))
+    rows = with_features(rows, "__t", "__n", "__b").select(*slots, "__n", model.logits(F.col("__b"), F.col("__t")).alias("__z"))
     rows = rows.select(*slots, "__n", softmax(F.col("__z"), len(model.domains)).alias("__p"))
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), F.col("__n").alias("n_tokens"), on_grid(F.col("__p")).alias("p"))
 
@@ -316,7 +319,7 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | No
     model = learn_domains(docs, labelled, domains, id_col, text_col)
     h = hidden(docs.columns)
     n, b, z, p = (f"{h}{x}" for x in ("n", "b", "z", "p"))
-    rows = with_features(docs, text_col, n, b).withColumn(z, model.logits(F.col(b))).withColumn(p, softmax(F.col(z), len(domains)))
+    rows = with_features(docs, text_col, n, b).withColumn(z, model.logits(F.col(b), quoted(text_col))).withColumn(p, softmax(F.col(z), len(domains)))
     rows = materialize(rows.withColumn(p, on_grid(F.col(p))).drop(b, z), "mix-members")
     measured = [F.col(p)[i] for i, d in enumerate(domains) if targets[d] is None]
     if measured:

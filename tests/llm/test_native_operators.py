@@ -222,12 +222,14 @@ def test_posteriors_against_plain_bayes(spark):
         mean = math.exp(sum(map(math.log, p.values())) / len(p))
         for k, d in enumerate(domains):
             stat = g(count[d], size[d], total - count[d], every - size[d])
-            w = (stat / (stat + mixing.EVIDENCE)) ** 2
+            w = (stat / (stat + mixing.EVIDENCE)) ** mixing.POWER
             want = w * (math.log(p[d] / mean) - mixing.ABSENCE * math.log((1 - p[d]) / (1 - mean)))
             assert m.odds[k][b] == pytest.approx(want, abs=1e-9)
     rows = {r.doc_id: r for r in mixing.memberships(docs, m, ("doc_id",)).collect()}
-    for i, (_, buckets, _) in held.items():
-        z = [math.log(m.priors[k]) + m.base[k] + sum(m.odds[k][b] for b in buckets) for k in range(len(domains))]
+    assert m.length == pytest.approx(np.mean([len(held[i][2] or "") for i in lab if i in held]))
+    for i, (_, buckets, text) in held.items():
+        scale = min(1.0, m.length / max(len(text or ""), 1))
+        z = [math.log(m.priors[k]) + scale * (m.base[k] + sum(m.odds[k][b] for b in buckets)) for k in range(len(domains))]
         e = [math.exp(max(x - max(z), -60)) for x in z]
         assert sum(rows[i].p) == pytest.approx(1) and all(abs(a - b / sum(e)) <= 3 / mixing.GRID for a, b in zip(rows[i].p, e, strict=True))
 

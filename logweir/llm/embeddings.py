@@ -4,9 +4,11 @@ Coarse centroids split the vectors of a label into inverted lists; the residual
 of each vector is coded per subspace.  A vector searches every list that could
 hold a partner: one on the far side of the bisector between two centroids is at
 least that far away, so the lists whose bisector is nearer than the radius
-suffice.  In a list, asymmetric table-lookup distances discard what the code's
-own error cannot explain, and exact double-precision cosines decide the rest.
-Both bounds are exact, so no link is lost; the codebooks only set the speed.
+suffice.  Both ends of a link pass that bound, so of two lists only one sends
+its vectors to the other, and each pair is looked at once.  In a list, asymmetric
+table-lookup distances discard what the code's own error cannot explain, and exact
+double-precision cosines decide the rest.  Both bounds are exact, so no link is
+lost; the codebooks only set the speed.
 """
 
 from __future__ import annotations
@@ -68,11 +70,18 @@ class Index:
         return codes, np.sqrt(((r - back) ** 2).sum(1))
 
     def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists may hold a vector within ``radius`` of each vector."""
+        """Which lists each vector is sent to: those that may hold one within ``radius``.
+
+        Of two lists the one that comes at most half way round after the other
+        receives, so that no list sends to all; a vector is sent to its own too.
+        """
         d = self.squares(x)
         gap = d - d[np.arange(len(x)), own][:, None]
         between = np.sqrt(np.maximum(((self.coarse[own][:, None] - self.coarse[None]) ** 2).sum(2), 1e-30))
-        out = gap / (2 * between) <= radius + _EPS
+        k = len(self.coarse)
+        turn = (np.arange(k)[None] - own[:, None]) % k
+        receives = (2 * turn < k) | ((2 * turn == k) & (own < k // 2)[:, None])
+        out = receives & (gap / (2 * between) <= radius + _EPS)
         out[np.arange(len(x)), own] = True
         return out
 
@@ -86,15 +95,20 @@ class Index:
         return np.sqrt(np.maximum(total, 0))
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _units(raw: list[bytes], dim: int) -> np.ndarray:
+    x = np.empty((len(raw), dim))
+    for width in (4, 8):
+        at = [i for i, r in enumerate(raw) if len(r) == width * dim]
+        if at:
+            x[at] = np.frombuffer(b"".join([raw[i] for i in at]), dtype=f"<f{width}").reshape(len(at), dim)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _valid(embedding: np.ndarray | None) -> bytes | None:
-    """A vector's components as doubles; None unless they are all finite and not all zero.
+    """A vector's components; None unless they are all finite and not all zero.
 
-    Vectors are scaled by their largest component first, so squares stay finite.
+    Vectors are scaled by a power of two first, so squares stay finite and digits
+    stay as they are.  Components are floats where that loses nothing, else doubles.
     """
     if embedding is None:
         return None
@@ -102,18 +116,23 @@ def _valid(embedding: np.ndarray | None) -> bytes | None:
     if not len(x) or not np.isfinite(x).all():
         return None
     top = np.abs(x).max()
-    return (x / top).tobytes() if top > 0 else None
+    if top == 0:
+        return None
+    x = np.ldexp(x, -np.frexp(top)[1])
+    short = x.astype("<f4")
+    return (short if (short == x).all() else x).tobytes()
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for b in batches:
-        raw = []
+        raw, dims = [], []
         for label, e in zip(b.column(1).to_pylist(), b.column(2), strict=True):
             raw.append(None if label is None or not e.is_valid else _valid(np.array(e.values.to_numpy(zero_copy_only=False))))
-        names = [None if r is None else hashlib.sha256(str(k).encode() + b":" + r).hexdigest()[:32] for k, r in zip(b.column(1).to_pylist(), raw, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(raw, pa.binary())], ["id", "label", "class", "raw"])
+            dims.append(None if raw[-1] is None else len(e.values))
+        names = [None if r is None else hashlib.sha256(f"{d}:{k}:".encode() + r).hexdigest()[:32] for k, d, r in zip(b.column(1).to_pylist(), dims, raw, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(dims, pa.int32()), pa.array(raw, pa.binary())], ["id", "label", "class", "dim", "raw"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, lists: int | None = None, tile: int = TILE, query_tile: int = QUERY_TILE) -> DataFrame:
@@ -130,16 +149,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ensure_importable(spark)
     radius = math.sqrt(2 - 2 * cosine) + _EPS
     source = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("e"))
-    rows = materialize(source.mapInArrow(_classes, "id long, label string, class string, raw binary"), "pq-rows")
-    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("label").alias("label"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
-    classes = materialize(classes.withColumn("dim", (F.octet_length("raw") / 8).cast("int")), "pq-classes")
+    rows = materialize(source.mapInArrow(_classes, "id long, label string, class string, dim int, raw binary"), "pq-rows")
+    classes = rows.where(F.col("class").isNotNull()).groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+    classes = materialize(classes, "pq-classes")
 
     indexes: dict[int, Index] = {}
     for d in sorted(r["dim"] for r in classes.select("dim").distinct().collect()):
         own = classes.where(F.col("dim") == d)
         n = own.count()
         sample = own.orderBy("class").limit(SAMPLE).select("raw").collect()  # hashes as names: a random sample
-        indexes[d] = Index(_units([bytes(r["raw"]) for r in sample]), lists or int(min(MOST_LISTS, max(1, round(math.sqrt(n) / 2)))))
+        indexes[d] = Index(_units([bytes(r["raw"]) for r in sample], d), lists or int(min(MOST_LISTS, max(1, round(math.sqrt(n) / 2)))))
     held = spark.sparkContext.broadcast(indexes)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +168,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 index = held.value[d]
                 for at in range(0, len(f), 512):
                     part = f.iloc[at : at + 512]
-                    x = _units(list(part["raw"]))
+                    x = _units(list(part["raw"]), int(d))
                     own = index.nearest(x)
                     codes, err = index.encode(x, own)
                     probes = [np.flatnonzero(p).tolist() for p in index.probes(x, own, radius)]
@@ -161,7 +180,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     placed = classes.select("class", "label", "dim", "raw", "copies").mapInArrow(place, "class string, label string, dim int, raw binary, copies long, list int, code binary, err double, probes array<int>")
     placed = materialize(placed, "pq-placed")
     key = ["label", "dim", "list"]
-    asked = placed.select("class", "label", "dim", "raw", F.explode("probes").alias("list"))
+    asked = placed.select("class", "label", "dim", "raw", "copies", F.col("list").alias("own"), F.explode("probes").alias("list"))
     counts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(asked.groupBy(*key).agg(F.count(F.lit(1)).alias("nq")), key)
     counts = counts.select(*key, F.ceil(F.col("n") / tile).cast("int").alias("tiles"), F.ceil(F.col("nq") / query_tile).cast("int").alias("slices"))
@@ -169,7 +188,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     part = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     data = placed.join(counts, key).select(*key, part(F.col("tiles")).alias("tile"), every(F.col("slices")).alias("slice"), F.lit(0).alias("query"), "class", "raw", "copies", "code", "err")
-    asks = asked.join(counts, key).select(*key, every(F.col("tiles")).alias("tile"), part(F.col("slices")).alias("slice"), F.lit(1).alias("query"), "class", "raw", F.lit(0).cast("long").alias("copies"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("err"))
+    asks = asked.join(counts, key).select(*key, every(F.col("tiles")).alias("tile"), part(F.col("slices")).alias("slice"), F.when(F.col("list") == F.col("own"), 2).otherwise(1).alias("query"), "class", "raw", "copies", F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("err"))
     cell = [*key, "tile", "slice"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +206,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         def prepare() -> tuple:
             f = pd.concat(base)
             codes = np.frombuffer(b"".join(f["code"]), dtype=np.uint8).reshape(len(f), -1)
-            return _units(list(f["raw"])), codes, f["err"].to_numpy(), f["class"].to_numpy(), f["copies"].to_numpy()
+            return _units(list(f["raw"]), int(current[1])), codes, f["err"].to_numpy(), f["class"].to_numpy(), f["copies"].to_numpy()
 
         for b in batches:
             frame = b.to_pandas()
@@ -198,7 +217,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     current, base, ready, parent = k, [], None, {}
                 if len(d := f[f["query"] == 0]):
                     base.append(d)
-                asks_ = f[f["query"] == 1]
+                asks_ = f[f["query"] > 0]
                 if not len(asks_) or not base:
                     continue
                 ready = ready or prepare()
@@ -206,15 +225,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 index = held.value[int(k[1])]
                 for at in range(0, len(asks_), 256):
                     q = asks_.iloc[at : at + 256]
-                    x, mine = _units(list(q["raw"])), q["class"].to_numpy()
+                    x, mine, mine_copies = _units(list(q["raw"]), int(k[1])), q["class"].to_numpy(), q["copies"].to_numpy()
                     i, j = np.nonzero(index.estimates(x, int(k[2]), codes) <= radius + err + 1e-6)
-                    other = mine[i] != names[j]
-                    i, j = i[other], j[other]
-                    links, pairs = np.zeros(len(q), dtype=np.int64), []
+                    once = (q["query"].to_numpy() == 1)[i] | (mine[i] < names[j])
+                    i, j = i[once], j[once]
+                    links, back, pairs = np.zeros(len(q), dtype=np.int64), np.zeros(len(names), dtype=np.int64), []
                     for s in range(0, len(i), 1 << 16):
                         a, c = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
                         near = np.einsum("nd,nd->n", x[a], y[c]) >= cosine
                         np.add.at(links, a[near], copies[c[near]])
+                        np.add.at(back, c[near], mine_copies[a[near]])
                         pairs += zip(mine[a[near]], names[c[near]], strict=True)
                     found = []
                     for u, v in pairs:
@@ -222,10 +242,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                         if ru != rv:
                             parent[max(ru, rv)] = min(ru, rv)
                             found.append((u, v))
-                    hit = np.flatnonzero(links)
-                    us = [*mine[hit], *(u for u, _ in found)]
+                    hit, met = np.flatnonzero(links), np.flatnonzero(back)
+                    us = [*mine[hit], *names[met], *(u for u, _ in found)]
                     if us:
-                        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array([None] * len(hit) + [v for _, v in found], pa.string()), pa.array([*links[hit].tolist(), *([0] * len(found))], pa.int64())], ["u", "v", "links"])
+                        vs, n_links = [None] * (len(hit) + len(met)) + [v for _, v in found], [*links[hit].tolist(), *back[met].tolist(), *([0] * len(found))]
+                        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string()), pa.array(n_links, pa.int64())], ["u", "v", "links"])
 
     dealt = data.union(asks).repartition(*cell).sortWithinPartitions(*cell, "query", "class")
     found = materialize(dealt.mapInArrow(search, "u string, v string, links long"), "pq-found")

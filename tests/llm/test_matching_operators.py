@@ -209,6 +209,21 @@ def test_embeddings(spark, lists, tile, slices):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lists", [1, 2, 5, 8])
+def test_embeddings_of_mixed_precision(spark, lists):
+    """Vectors that floats hold, vectors that need doubles, and huge and tiny ones; lists even and odd in number."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in range(30):
+        v = rng.normal(size=12)
+        for scale in (1.0, 1e200, 1e-200)[: 1 + n % 3]:
+            rows.append((len(rows), (scale * (v + 0.03 * rng.normal(size=12))).tolist(), 0))
+        rows.append((len(rows), v.astype(np.float32).astype(float).tolist(), 0))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), lists=lists, tile=4, query_tile=5).collect()}
+    links = _plain_links([(i, (np.array(e) / np.abs(e).max()).tolist(), k) for i, e, k in rows])
+    assert links and got == {n: sum(n in x for x in links) for n in range(len(rows))}
+
+
 def test_embedding_recall_on_the_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]

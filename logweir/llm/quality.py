@@ -206,6 +206,16 @@ def _sums(weight: Column, x: list[Column]) -> list[Column]:
     return [F.sum(weight).alias("w"), F.array(*(F.sum(weight * c) for c in x)).alias("s"), F.array(*(F.sum(weight * x[i] * x[j]) for i, j in _upper(p))).alias("q")]
 
 
+def _totals(rows: DataFrame, aggregates: list[Column], *keys: str) -> DataFrame:
+    """``aggregates`` of each group ``g`` and ``keys``, pre-aggregated wherever a join left its rows.
+
+    Grouped by the reversed name: a join that deals rows by ``g`` (fits too many
+    to broadcast) must not have its dealing used again, as that would bring all
+    rows of a group to one task, those of the group of all rows too.
+    """
+    return rows.groupBy(F.reverse("g").alias("g"), *keys).agg(*aggregates).withColumn("g", F.reverse("g"))
+
+
 def determinant_fits(data: DataFrame, x: list[str], weight: str, scale: list[float], subset: float = SUBSET, ridge: float = RIDGE, steps: int = STEPS, more_steps: int = MORE_STEPS) -> DataFrame:
     """``(g, n, loc, cov)``: the minimum-covariance-determinant estimate of each group ``g`` of ``data``."""
     p, cols, w = len(x), [F.col(c) for c in x], F.col(weight)
@@ -213,23 +223,23 @@ def determinant_fits(data: DataFrame, x: list[str], weight: str, scale: list[flo
     factor = subset / chi2_share(chi2_quantile(subset, p), p + 2)
     mid = materialize(data.groupBy("g").agg(F.array(*(F.percentile_approx(c, 0.5, 1000) for c in cols)).alias("mid"), F.count(F.lit(1)).alias("n")), "mcd-mid")
     off = [F.sqrt(w) * (cols[i] - F.col("mid")[i]) for i in range(p)]
-    dev = data.join(mid, "g").groupBy("g").agg(F.array(*(F.percentile_approx(F.abs(o), 0.5, 1000) * 1.4826 for o in off)).alias("dev"))
+    dev = _totals(data.join(mid, "g"), [F.array(*(F.percentile_approx(F.abs(o), 0.5, 1000) * 1.4826 for o in off)).alias("dev")])
     spread = materialize(mid.join(dev, "g"), "mcd-dev")
     z = [(off[i] / F.sqrt(F.pow(F.col("dev")[i], 2) + float(floor[i, i]))).alias(f"z{i}") for i in range(p)]
     scaled = data.join(spread, "g").select("g", *z)
     length = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(p)), F.lit(0.0))
     damped = [F.sum(F.tanh(f"z{i}") * F.tanh(f"z{j}")) for i, j in _upper(p)]
     turned = [F.sum(F.col(f"z{i}") * F.col(f"z{j}") / F.greatest(length, F.lit(1e-12))) for i, j in _upper(p)]
-    sums = scaled.groupBy("g").agg(F.array(*damped).alias("damped"), F.array(*turned).alias("turned"))
+    sums = _totals(scaled, [F.array(*damped).alias("damped"), F.array(*turned).alias("turned")])
     fit = materialize(spread.join(sums, "g").mapInPandas(_begin(p, floor), _FIT), "mcd-start")
     for step in range(steps + more_steps):
         if step == steps:
             best = fit.groupBy("g").agg(F.min_by(F.struct(*fit.columns[1:]), F.struct("det", "start")).alias("b"))
             fit = materialize(best.select("g", "b.*"), "mcd-best")
         far = data.join(fit.select("g", "start", "n", "loc", "prec"), "g").withColumn("far", distance(cols, w, F.col("loc"), F.col("prec")))
-        cut = materialize(far.groupBy("g", "start").agg(F.percentile_approx("far", subset, 1000).alias("cut")), f"mcd-cut{step}")
+        cut = materialize(_totals(far, [F.percentile_approx("far", subset, 1000).alias("cut")], "start"), f"mcd-cut{step}")
         near = far.join(cut, ["g", "start"]).where(F.col("far") <= F.col("cut"))
-        sums = near.groupBy("g", "start").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("near"), *_sums(w, cols))
+        sums = _totals(near, [F.first("n").alias("n"), F.count(F.lit(1)).alias("near"), *_sums(w, cols)], "start")
         fit = materialize(sums.mapInPandas(_refit(p, floor, factor), _FIT), f"mcd-fit{step}")
     return fit.select("g", "n", "loc", "cov")
 

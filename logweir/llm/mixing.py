@@ -185,25 +185,31 @@ def by_posterior(rows: DataFrame, n: str = "n_tokens", p: str = "p") -> DataFram
     return materialize(sums.select("n_tokens", "p"), "mix-posteriors")
 
 
-def _rate(p: Column, k: int, steps: list[list[float]]) -> Column:
+def _bounded(r: Column, most: float) -> Column:
+    """The projection of rates to those from zero to ``most``."""
+    r = F.greatest(F.lit(0.0), r)
+    return r if most == math.inf else F.least(F.lit(most), r)
+
+
+def _rate(p: Column, k: int, steps: list[list[float]], most: float = math.inf) -> Column:
     """Rates after ``steps``.  They come as one array constant, so a further step compiles no new code."""
-    return F.greatest(F.lit(0.0), _unbounded(p, k, steps)) if steps else F.lit(1.0)
+    return _bounded(_unbounded(p, k, steps, most), most) if steps else F.lit(1.0)
 
 
-def _unbounded(p: Column, k: int, steps: list[list[float]]) -> Column:
-    """Rates after ``steps``, the last of them without its projection at zero."""
+def _unbounded(p: Column, k: int, steps: list[list[float]], most: float = math.inf) -> Column:
+    """Rates after ``steps``, the last of them without its projection."""
     taken = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
 
     def step(r: Column, g: Column) -> Column:
         change = F.get(p, F.lit(0)) * F.get(g, F.lit(0))
         for i in range(1, k):
             change = change + F.get(p, F.lit(i)) * F.get(g, F.lit(i))
-        return F.greatest(F.lit(0.0), r) - change
+        return _bounded(r, most) - change
 
     return F.aggregate(taken, F.lit(1.0), step)
 
 
-def _descend(rows: DataFrame, targets: list[float], steps: int, tolerance: float, n: str, p: str) -> tuple[list[list[float]], list[dict], float, np.ndarray, np.ndarray]:
+def _descend(rows: DataFrame, targets: list[float], steps: int, tolerance: float, n: str, p: str, share: float = 1.0, most: float = math.inf) -> tuple[list[list[float]], list[dict], float, np.ndarray, np.ndarray]:
     """Gradient steps taken and the gap after each, the total, the norm's matrix and the wanted shares."""
     k = len(targets)
     pc, nc = F.col(p), F.col(n).cast("double")
@@ -214,11 +220,11 @@ def _descend(rows: DataFrame, targets: list[float], steps: int, tolerance: float
     m = np.array([[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)]) / total
     metric = m + 1e-6 * np.trace(m) / k * np.eye(k)
     inverse = np.linalg.inv(metric)
-    want = np.array(targets, dtype=float) / sum(targets)
+    want = share * np.array(targets, dtype=float) / (sum(targets) or 1.0)
     taken: list[list[float]] = []
     history = []
     for _ in range(steps):
-        got = rows.agg(*(F.sum(_rate(pc, k, taken) * nc * pc[i]).alias(f"t{i}") for i in range(k))).first()
+        got = rows.agg(*(F.sum(_rate(pc, k, taken, most) * nc * pc[i]).alias(f"t{i}") for i in range(k))).first()
         gap = np.array([got[f"t{i}"] or 0.0 for i in range(k)]) / total - want
         history.append({"totals": [float(got[f"t{i}"] or 0.0) for i in range(k)], "gap": float(np.abs(gap).max())})
         if history[-1]["gap"] <= tolerance:
@@ -240,9 +246,12 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     return _rate(F.col(p), len(targets), taken), history
 
 
-def reach_rates(rows: DataFrame, targets: list[float], tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p") -> tuple[Column, list[dict]]:
+def reach_rates(rows: DataFrame, targets: list[float], tolerance: float = TOLERANCE, n: str = "n_tokens", p: str = "p", share: float = 1.0, most: float = math.inf) -> tuple[Column, list[dict]]:
     """Like ``fit_rates``, but until the gap is at most ``tolerance`` or the least that any rates leave.
 
+    The mix has ``share`` of all tokens, and rates are ``most`` (1 or more) at most:
+    steps are projected to that bound as they are to zero.
+
     Where gradient steps end short, implicit ones follow: of the lengths ``1 / DAMPINGS``,
     along the gap at their end.  Such a step minimises a convex function of one
     multiplier a domain, by Newton's method with halved steps.  The last entry of
@@ -250,13 +259,14 @@ def reach_rates(rows: DataFrame, targets: list[float], tolerance: float = TOLERA
     """
     k = len(targets)
     pc, nc = F.col(p), F.col(n).cast("double")
-    taken, history, total, metric, want = _descend(rows, targets, STEPS, tolerance, n, p)
+    taken, history, total, metric, want = _descend(rows, targets, STEPS, tolerance, n, p, share, most)
 
     def at(multipliers: np.ndarray, damping: float) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
         """The convex function, the gap, the curvature and the totals where a further step takes ``multipliers``."""
-        x = rows.select(nc.alias("n"), pc.alias("p"), _unbounded(pc, k, [*taken, [float(v) for v in multipliers]]).alias("x"))
-        inside, w = F.col("x") > 0, F.col("n") * F.greatest(F.lit(0.0), F.col("x"))
-        sums = [F.sum(w * F.greatest(F.lit(0.0), F.col("x"))).alias("f"), *(F.sum(w * F.col("p")[i]).alias(f"t{i}") for i in range(k))]
+        x = rows.select(nc.alias("n"), pc.alias("p"), _unbounded(pc, k, [*taken, [float(v) for v in multipliers]], most).alias("x"))
+        rate = _bounded(F.col("x"), most)
+        inside, w = (F.col("x") > 0) & (F.col("x") < most), F.col("n") * rate
+        sums = [F.sum(w * (2 * F.col("x") - rate)).alias("f"), *(F.sum(w * F.col("p")[i]).alias(f"t{i}") for i in range(k))]
         sums += [F.sum(F.when(inside, F.col("n") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]
         r = x.agg(*sums).first()
         totals = [float(r[f"t{i}"] or 0.0) for i in range(k)]
@@ -285,7 +295,7 @@ def reach_rates(rows: DataFrame, targets: list[float], tolerance: float = TOLERA
                 break
         if history[-1]["gap"] > tolerance:
             _LOG.warning("mixing: no rates reach the targets; a gap of %.5f of all tokens is left", history[-1]["gap"])
-    return _rate(pc, k, taken), history
+    return _rate(pc, k, taken, most), history
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: tuple[str, ...] = ("doc_id",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,13 +317,22 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: t
     return rows.select(*(F.col(s).alias(c) for c, s in zip(keep, slots, strict=True)), "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)), rate.alias("rate"), gap.alias("gap"))
 
 
+def measured_targets(sums: DataFrame, measured: list[Column], k: int, p: str) -> tuple[list[float], float]:
+    """Expected tokens of each domain in documents whose ``measured`` posteriors are 0.5 or more together, and the tokens of all documents."""
+    inside = F.when(sum(measured[1:], measured[0]) >= 0.5, F.col("n_tokens")).otherwise(0)
+    r = sums.agg(F.sum("n_tokens").alias("total"), *(F.sum(inside * F.col(p)[i]).alias(f"t{i}") for i in range(k))).first()
+    return [float(r[f"t{i}"] or 0.0) for i in range(k)], float(r["total"] or 0.0)
+
+
 def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as its rate: the whole part, and once more by a hash of id and length for the fraction.
 
     A target of None is measured: the expected tokens that the domain has in
     documents which more probably than not are of such domains; the other domains
-    then aim at what these same documents hold of them, near zero.  Rates of 1
-    for these documents and of 0 for others meet all of that, at any share.
+    then aim at what these same documents hold of them, near zero.  Rates are
+    fitted to these targets between 0 and 1, so no row is repeated.  The only ones
+    to meet them exactly are 1 for these documents and 0 for others, at any share;
+    within the tolerance, documents of about even posteriors get rates between.
     """
     domains = sorted(targets)
     model = learn_domains(docs, labelled, domains, id_col, text_col)
@@ -321,11 +340,13 @@ def resample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | No
     n, b, z, p = (f"{h}{x}" for x in ("n", "b", "z", "p"))
     rows = with_features(docs, text_col, n, b).withColumn(z, model.logits(F.col(b), quoted(text_col))).withColumn(p, softmax(F.col(z), len(domains)))
     rows = materialize(rows.withColumn(p, on_grid(F.col(p))).drop(b, z), "mix-members")
+    sums = by_posterior(rows, n, p).withColumnRenamed("p", p)
     measured = [F.col(p)[i] for i, d in enumerate(domains) if targets[d] is None]
     if measured:
-        rate = F.when(sum(measured[1:], measured[0]) >= 0.5, 1.0).otherwise(0.0)
+        aims, total = measured_targets(sums, measured, len(domains), p)
+        rate, _ = reach_rates(sums, aims, p=p, share=sum(aims) / (total or 1.0), most=1.0)
     else:
-        rate, _ = reach_rates(by_posterior(rows, n, p).withColumnRenamed("p", p), [targets[d] for d in domains], p=p)
+        rate, _ = reach_rates(sums, [targets[d] for d in domains], p=p)
     unit = F.pmod(F.xxhash64(quoted(id_col), F.length(quoted(text_col).cast("string"))), F.lit(1 << 20)) / float(1 << 20)
     copies = F.floor(rate + unit).cast("int")
     return rows.where(copies > 0).withColumn(f"{h}copy", F.explode(F.sequence(F.lit(1), copies))).select(*(quoted(c) for c in docs.columns))

@@ -41,7 +41,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Domains by label, and their shares of all tokens in the mix.
 TARGETS = {"good": 0.9, "low": 0.07, "toxic": 0.03}
-#: In the pipeline the quality rules have dealt with low quality; good documents keep a rate of 1, whatever the toxic share, and toxic ones get 0.
+#: In the pipeline the quality rules have dealt with low quality; the good target is measured, so that rates fitted to it are near 1 for good documents and near 0 for toxic ones, whatever the toxic share.
 PIPELINE_TARGETS = {"good": None, "toxic": 0.0}
 
 

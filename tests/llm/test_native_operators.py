@@ -249,6 +249,46 @@ def test_mixing_edge_rows(spark):
     assert mixing.mix(long, labels, {"good": 0.7, "low": 0.3}).first().n_tokens == 200_000
 
 
+def test_the_pipeline_fits_its_rates(spark, monkeypatch):
+    """Its mixing stage takes the rates of the projected steps, which meet the measured targets without repeats."""
+    sf, seen, reach = "/root/testdata/sf0.01", [], mixing.reach_rates
+
+    def spy(rows, targets, **more):
+        rate, history = reach(rows, targets, **more)
+        got = rows.select("n_tokens", F.col(more["p"]).alias("p"), rate.alias("rate")).toPandas()
+        seen.append((targets, history, got))
+        return rate, history
+
+    monkeypatch.setattr(mixing, "reach_rates", spy)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = corpus_pipeline.mixing_stage(spark, docs, sf)
+    assert len(seen) == 1
+    targets, history, got = seen[0]
+    p, n = np.array(got.p.tolist()), got.n_tokens.to_numpy(float)
+    want, tokens = ((p[:, 0] >= 0.5) * n) @ p, n.sum()
+    assert np.allclose(targets, want) and 0 < want.sum() < tokens
+    assert len(history) > 1 and history[0]["gap"] > mixing.TOLERANCE >= history[-1]["gap"]
+    assert np.abs((got.rate.to_numpy() * n) @ p - want).max() <= 1.001 * mixing.TOLERANCE * tokens
+    assert got.rate.between(0, 1).all() and not out.toPandas().doc_id.duplicated().any()
+
+
+@pytest.mark.parametrize("most", [1.0, 1.5])
+def test_rates_keep_to_their_bound(spark, most):
+    """Targets that rates under the bound meet, and none at all."""
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([2, 0.3, 0.2], 200)
+    n = rng.integers(0, 500, 200).astype(float)
+    total, r = n.sum(), rng.uniform(0.2, 1, 200)
+    aims = (r * n) @ p
+    df = spark.createDataFrame([(i, int(n[i]), p[i].tolist()) for i in range(200)], "i long, n_tokens long, p array<double>")
+    rate, history = mixing.reach_rates(df, aims.tolist(), share=aims.sum() / total, most=most)
+    got = np.array([x.r for x in df.orderBy("i").select(rate.alias("r")).collect()])
+    assert (got >= 0).all() and (got <= most).all()
+    assert np.abs((got * n) @ p - aims).max() <= 1.001 * mixing.TOLERANCE * total and history[-1]["gap"] <= mixing.TOLERANCE
+    _, history = mixing.reach_rates(df, [0.0, 0.0, 0.0], share=0.0, most=most)
+    assert history[-1]["gap"] <= mixing.TOLERANCE
+
+
 @pytest.mark.parametrize("one_in", [1, 10])
 def test_good_documents_come_once_at_any_toxic_share(spark, one_in):
     sf = "/root/testdata/sf0.01"

@@ -14,6 +14,9 @@ loss, up to ``MOST_TILES`` tiles, and beyond that by ``SECOND`` further hash
 orders, of which similar documents share none with chance 0.2 ** 8, and then
 into pairs of tiles.  A pair is looked at in one cell only: that of the first
 minima that it shares.
+
+Texts are shuffled only where that matters: a Bloom filter of bounded size lets
+rows pass that are in no group and leaves the others to exact joins.
 """
 
 from __future__ import annotations
@@ -25,16 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._util import ensure_importable, materialize
+from ._util import ensure_importable, hidden, materialize
 from .components import connected_components
 from .simhash import BKTree
 
 BITS, MINIMA, SECOND, SHINGLE, SHARD_ROWS, MOST_TILES = 512, 6, 8, 5, 1024, 8
 SIMILARITY = 0.8
+#: Words of 64 bits of a Bloom filter, and bits that a name sets in its word.
+WORDS, MARKS = 1 << 16, 2
 #: Standard deviations of a distance that candidates may lie beyond its mean.
 ALLOWANCE = 4.0
 
@@ -211,6 +216,31 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["name", "grams"])
 
 
+def _mark(name: Column) -> tuple[Column, Column]:
+    """The word of a name in a Bloom filter, and the bits that it sets there."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(name, F.lit(k)), F.lit(64)).cast("int"))
+    bits = one(1)
+    for k in range(2, MARKS + 1):
+        bits = bits.bitwiseOR(one(k))
+    return F.pmod(F.xxhash64(name, F.lit(0)), F.lit(WORDS)).cast("int"), bits
+
+
+def bloom(names: DataFrame, label: str) -> DataFrame:
+    """A Bloom filter ``(word, bits)`` of the column ``name``, of ``WORDS`` rows at most however many names there are."""
+    word, bits = _mark(F.col("name"))
+    return materialize(names.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), label)
+
+
+def sifted(rows: DataFrame, name_col: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose name may be in a Bloom filter, with all that are, and those whose name is not; no row is shuffled."""
+    word, bits = _mark(F.col(name_col))
+    h = hidden(rows.columns)
+    marks = names.select(F.col("word").alias(f"{h}word"), F.col("bits").alias(f"{h}bits"))
+    held = rows.join(F.broadcast(marks), word == F.col(f"{h}word"), "left")
+    found = F.coalesce(F.col(f"{h}bits").bitwiseAND(bits) == bits, F.lit(False))
+    return held.where(found).select(*rows.columns), held.where(~found).select(*rows.columns)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shard_rows: int = SHARD_ROWS, most_tiles: int = MOST_TILES) -> DataFrame:
     """``docs`` without all but one row of each group of near duplicates.
 
@@ -229,16 +259,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     limit, member = radius(similarity), [*CELL, *_MEMBER]
     dealt = _shards(distinct, shard_rows, most_tiles).repartition(*CELL).sortWithinPartitions(*CELL, "fp")
     asked = materialize(dealt.mapInArrow(_candidates(limit), _kind(CELL | _MEMBER)), "nd-asked")
-    texts = rows.select(F.col("__name").alias("name"), text.cast("string").alias("text")).join(asked.select("name").distinct(), "name", "left_semi")
+    names = materialize(asked.select("name").distinct(), "nd-names")
+    texts, _ = sifted(rows.select(F.col("__name").alias("name"), text.cast("string").alias("text")), "name", bloom(names, "nd-asked-bits"))
+    texts = texts.join(names, "name", "left_semi")
     grams = materialize(texts.mapInArrow(_with_shingles, "name string, grams binary"), "nd-grams").groupBy("name").agg(F.first("grams").alias("grams"))
     ready = asked.join(grams, "name").select(*member, "grams").repartition(*CELL).sortWithinPartitions(*CELL, "fp")
     roots = connected_components(ready.mapInArrow(_confirmed(limit, similarity), "u string, v string"))
     owners = materialize(rows.groupBy(F.col("__name").alias("name"), ident.alias("id")).agg(F.count(F.lit(1)).alias("n")), "nd-owners")
-    owned = owners.join(roots.withColumnRenamed("node", "name"), "name", "left")
+    roots = materialize(roots.select(F.col("node").alias("name"), "root"), "nd-roots")
+    shared = owners.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("name")
+    contested = bloom(roots.select("name").union(shared), "nd-contested")
+    owned = sifted(owners, "name", contested)[0].join(roots, "name", "left")
     best = owned.groupBy(F.coalesce("root", "name").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name", "n")).alias("b"))
     best = materialize(best.select(F.col("b.id").alias("__keep"), F.col("b.name").alias("__of"), F.col("b.n").alias("__n")), "nd-kept")
-    kept = rows.join(best, (F.col("__name") == F.col("__of")) & ident.eqNullSafe(F.col("__keep")))
+    unsure, alone = sifted(rows, "__name", contested)
+    kept = unsure.join(best, (F.col("__name") == F.col("__of")) & ident.eqNullSafe(F.col("__keep")))
     columns = [F.col(s).alias(c) for s, c in zip(slots, docs.columns, strict=True)]
     single = kept.where(F.col("__n") == 1).select(*columns)
     again = kept.where(F.col("__n") > 1).withColumn("__r", F.row_number().over(Window.partitionBy("__of", "__keep").orderBy(F.xxhash64(text)))).where(F.col("__r") == 1)
-    return single.union(again.select(*columns))
+    return alone.select(*columns).union(single).union(again.select(*columns))

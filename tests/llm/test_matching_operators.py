@@ -130,6 +130,53 @@ def test_near_dedup(spark):
     assert [r.doc_id for r in near_dedup.near_dedup(spark.createDataFrame([(2, long + " x"), (1, long)], "doc_id long, text string")).collect()] == [1]
 
 
+def _text_rows_shuffled(spark, df):
+    """Rows with a text that joins of the plan get by an exchange, as run."""
+    df.collect()
+    plan, texts = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif kind == "ShuffleExchangeExec" and any(p.output().apply(i).name() == "c1" for i in range(p.output().size())):
+            texts = max(texts, p.metrics().apply("shuffleRecordsWritten").value())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return texts
+
+
+def test_near_dedup_shuffles_only_texts_in_question(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(_text(rng, 30))) for i in range(2000)]
+    rows += [(10_000 + i, rows[i][1]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where tables are large
+    try:
+        out = near_dedup.near_dedup(df)
+        assert sorted(r.doc_id for r in out.collect()) == list(range(2000))
+        assert 40 <= _text_rows_shuffled(spark, out) <= 60
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("words", [1, 64])
+def test_a_full_bloom_filter_loses_nothing(spark, monkeypatch, words):
+    monkeypatch.setattr(near_dedup, "WORDS", words)
+    rows = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("name"), "id")
+    bits = near_dedup.bloom(rows.where("id % 7 = 0").select("name"), "test-bits")
+    inside, outside = near_dedup.sifted(rows, "name", bits)
+    got, rest = ({r.id for r in df.collect()} for df in (inside, outside))
+    assert set(range(0, 5000, 7)) <= got and not got & rest and got | rest == set(range(5000)) and bits.count() <= words
+    texts = [(i, t) for i, t in enumerate(["a b c d e f", "A b c d e f", "x y", "x y", "z", None, "", "q r s"])]
+    df = spark.createDataFrame([*texts, (None, "z"), (2, "x y")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.near_dedup(df).collect()) == [0, 2, 4, 5, 7]
+
+
 def test_radius_grows_as_similarity_falls():
     assert near_dedup.radius(1.0) == 0 < near_dedup.radius(0.9) < near_dedup.radius(0.8) < near_dedup.BITS // 4
 

@@ -83,6 +83,7 @@ def sketch(h: np.ndarray) -> tuple[bytes, list[int]]:
     return b"".join(out), [int(_mix(h, 100 + k).min().view(np.int64)) for k in range(MINIMA + SECOND)]
 
 
+#: A member of a cell has those of its minima that come before the cell's.
 #: A cell: place and value of the shared minimum, of the second one (-1 and 0 without), and the pair of tiles.
 CELL = {"k": "int", "v": "long", "j": "int", "w": "long", "t": "int", "o": "int"}
 _MEMBER = {"mine": "int", "name": "string", "fp": "binary", "mins": "array<long>"}
@@ -108,7 +109,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tupl
 
 def _pairs(key: tuple, members: list[tuple], limit: int) -> Iterator[tuple[int, int]]:
     """Places of each two members within ``limit`` bits that no earlier cell looks at."""
-    k, _, j, _, t, o = key
+    *_, t, o = key
     tree, places = BKTree(), []
     for at, (mine, _, fp, mins, *_) in enumerate(members):
         value, size = int.from_bytes(fp, "little"), len(tree.values)
@@ -117,9 +118,7 @@ def _pairs(key: tuple, members: list[tuple], limit: int) -> Iterator[tuple[int,
             theirs = members[b]
             if t != o and mine == theirs[0]:
                 continue  # the cell of that tile alone has them
-            if any(x == y for x, y in zip(mins[:k], theirs[3][:k], strict=True)):
-                continue
-            if j >= 0 and any(x == y for x, y in zip(mins[MINIMA:j], theirs[3][MINIMA:j], strict=True)):
+            if any(x == y for x, y in zip(mins, theirs[3], strict=True)):
                 continue
             yield b, at
         tree.insert(value)
@@ -174,12 +173,14 @@ def _shards(distinct: DataFrame, shard_rows: int, most_tiles: int) -> DataFrame:
     """The cells and their members."""
     member = list(_MEMBER)
     sized = lambda df, keys: materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows).select(*keys, F.ceil(F.col("n") / shard_rows).cast("int").alias("tiles")), "nd-large")
-    flat = lambda df: df.withColumns({"t": F.lit(0), "o": F.lit(0), "mine": F.lit(0)}).select(*CELL, *member)
+    earlier = F.concat(F.slice("mins", F.lit(1), F.col("k")), F.slice("mins", F.lit(MINIMA + 1), F.greatest(F.col("j") - MINIMA, F.lit(0))))
+    placed = lambda df: df.withColumn("mins", earlier).select(*CELL, *member)
+    flat = lambda df: placed(df.withColumns({"t": F.lit(0), "o": F.lit(0), "mine": F.lit(0)}))
 
     def tiled(df: DataFrame) -> DataFrame:
         mine = F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int")
         spread = df.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        return spread.withColumns({"t": F.least("mine", "other"), "o": F.greatest("mine", "other")}).select(*CELL, *member)
+        return placed(spread.withColumns({"t": F.least("mine", "other"), "o": F.greatest("mine", "other")}))
 
     one, two = ["k", "v"], ["k", "v", "j", "w"]
     first = distinct.select("name", "fp", "mins", F.posexplode(F.slice("mins", 1, MINIMA)).alias("k", "v")).withColumns({"j": F.lit(-1), "w": F.lit(0).cast("long")})
@@ -216,26 +217,26 @@ def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["name", "grams"])
 
 
-def _mark(name: Column) -> tuple[Column, Column]:
-    """The word of a name in a Bloom filter, and the bits that it sets there."""
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(name, F.lit(k)), F.lit(64)).cast("int"))
+def _mark(key: list[Column]) -> tuple[Column, Column]:
+    """The word of a key in a Bloom filter, and the bits that it sets there."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(*key, F.lit(k)), F.lit(64)).cast("int"))
     bits = one(1)
     for k in range(2, MARKS + 1):
         bits = bits.bitwiseOR(one(k))
-    return F.pmod(F.xxhash64(name, F.lit(0)), F.lit(WORDS)).cast("int"), bits
+    return F.pmod(F.xxhash64(*key, F.lit(0)), F.lit(WORDS)).cast("int"), bits
 
 
-def bloom(names: DataFrame, label: str) -> DataFrame:
-    """A Bloom filter ``(word, bits)`` of the column ``name``, of ``WORDS`` rows at most however many names there are."""
-    word, bits = _mark(F.col("name"))
-    return materialize(names.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), label)
+def bloom(keys: DataFrame, label: str) -> DataFrame:
+    """A Bloom filter ``(word, bits)`` of the rows of ``keys``, of ``WORDS`` rows at most however many there are."""
+    word, bits = _mark([F.col(c) for c in keys.columns])
+    return materialize(keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits")), label)
 
 
-def sifted(rows: DataFrame, name_col: str, names: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows whose name may be in a Bloom filter, with all that are, and those whose name is not; no row is shuffled."""
-    word, bits = _mark(F.col(name_col))
+def sifted(rows: DataFrame, key: list[str], marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in a Bloom filter, with all that are, and those whose key is not; no row is shuffled."""
+    word, bits = _mark([F.col(c) for c in key])
     h = hidden(rows.columns)
-    marks = names.select(F.col("word").alias(f"{h}word"), F.col("bits").alias(f"{h}bits"))
+    marks = marked.select(F.col("word").alias(f"{h}word"), F.col("bits").alias(f"{h}bits"))
     held = rows.join(F.broadcast(marks), word == F.col(f"{h}word"), "left")
     found = F.coalesce(F.col(f"{h}bits").bitwiseAND(bits) == bits, F.lit(False))
     return held.where(found).select(*rows.columns), held.where(~found).select(*rows.columns)
@@ -260,7 +261,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = _shards(distinct, shard_rows, most_tiles).repartition(*CELL).sortWithinPartitions(*CELL, "fp")
     asked = materialize(dealt.mapInArrow(_candidates(limit), _kind(CELL | _MEMBER)), "nd-asked")
     names = materialize(asked.select("name").distinct(), "nd-names")
-    texts, _ = sifted(rows.select(F.col("__name").alias("name"), text.cast("string").alias("text")), "name", bloom(names, "nd-asked-bits"))
+    texts, _ = sifted(rows.select(F.col("__name").alias("name"), text.cast("string").alias("text")), ["name"], bloom(names, "nd-asked-bits"))
     texts = texts.join(names, "name", "left_semi")
     grams = materialize(texts.mapInArrow(_with_shingles, "name string, grams binary"), "nd-grams").groupBy("name").agg(F.first("grams").alias("grams"))
     ready = asked.join(grams, "name").select(*member, "grams").repartition(*CELL).sortWithinPartitions(*CELL, "fp")
@@ -269,10 +270,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = materialize(roots.select(F.col("node").alias("name"), "root"), "nd-roots")
     shared = owners.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") > 1).select("name")
     contested = bloom(roots.select("name").union(shared), "nd-contested")
-    owned = sifted(owners, "name", contested)[0].join(roots, "name", "left")
+    owned = sifted(owners, ["name"], contested)[0].join(roots, "name", "left")
     best = owned.groupBy(F.coalesce("root", "name").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name", "n")).alias("b"))
     best = materialize(best.select(F.col("b.id").alias("__keep"), F.col("b.name").alias("__of"), F.col("b.n").alias("__n")), "nd-kept")
-    unsure, alone = sifted(rows, "__name", contested)
+    unsure, alone = sifted(rows, ["__name"], contested)
+    unsure, _ = sifted(unsure, ["__name", slots[docs.columns.index(id_col)]], bloom(best.select("__of", "__keep"), "nd-kept-bits"))
     kept = unsure.join(best, (F.col("__name") == F.col("__of")) & ident.eqNullSafe(F.col("__keep")))
     columns = [F.col(s).alias(c) for s, c in zip(slots, docs.columns, strict=True)]
     single = kept.where(F.col("__n") == 1).select(*columns)
